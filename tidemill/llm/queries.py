@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_rules, sharding, simhash, url_filters
+from . import language_id, mixing, packing, quality_rules, sharding, simhash, toxicity, url_filters
 from .shared import fresh_path
 
 
@@ -15,6 +15,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_crc32(packing.pack(_table(spark, sf_dir, "documents")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", language_id.fold(F.col("doc_id"), 5) == 0)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(language_id.fold(F.col("doc_id"), 5) != 0)
+    machine = toxicity.train(docs.where(~F.col("held_out")), labels)
+    scored = toxicity.score(docs, machine, keep=("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = sharding.shard_documents(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards")).read()
     return live.select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("text_md5"))
@@ -45,7 +57,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_sharding, op5_simhash, op6_quality_rules, op7_language_id, op9_mixing, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op5_simhash, op6_quality_rules, op7_language_id, op9_mixing, op10_url_filters)}
 
 ORACLES: dict[str, str] = {
     "op4_sharding": sharding.ORACLE,
