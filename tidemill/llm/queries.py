@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, quality_rules, sharding, simhash, toxicity, url_filters
+from . import embedding_dedup, language_id, mixing, packing, quality_rules, sharding, simhash, toxicity, url_filters
 from .shared import fresh_path
 
 
@@ -48,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
@@ -57,11 +61,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op5_simhash, op6_quality_rules, op7_language_id, op9_mixing, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op5_simhash, op6_quality_rules, op7_language_id, op8_embedding_dedup, op9_mixing, op10_url_filters)}
 
 ORACLES: dict[str, str] = {
     "op4_sharding": sharding.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
     "op10_url_filters": url_filters.ORACLE,
 }

@@ -50,7 +50,7 @@ def drop_written(df: DataFrame) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a scan, the size of its files. Only the number of buckets depends on it, never a result."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def at_least(least: int, size: float, each: float) -> int:
