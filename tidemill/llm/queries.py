@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, packing, quality_rules, sharding, simhash, toxicity, url_filters
+from . import embedding_dedup, language_id, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filters
 from .shared import fresh_path
 
 
@@ -27,6 +27,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = sharding.shard_documents(_table(spark, sf_dir, "documents"), fresh_path(spark, "shards")).read()
     return live.select("doc_id", "source", "lang", "n_chars", F.md5("text").alias("text_md5"))
@@ -61,7 +67,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op4_sharding, op5_simhash, op6_quality_rules, op7_language_id, op8_embedding_dedup, op9_mixing, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_toxicity, op3_suffix_dedup, op4_sharding, op5_simhash, op6_quality_rules, op7_language_id, op8_embedding_dedup, op9_mixing, op10_url_filters)}
 
 ORACLES: dict[str, str] = {
     "op4_sharding": sharding.ORACLE,
