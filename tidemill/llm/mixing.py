@@ -87,14 +87,14 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, keep: tuple[str, .
     """One row per document: ``keep``, ``size``, ``source_size``, ``target``, ``copies``.
 
     ``copies`` is an array of (``repeat``, ``shard``, ``position``), empty for a document that the mix leaves out;
-    exploding it and sorting each shard by ``position`` gives the shards. Null texts have size 0 and are never taken;
+    exploding it and sorting each shard by ``position`` gives the shards. The first of ``keep`` is the id. Null texts have size 0 and are never taken;
     a null source is a source of its own; equal rows count as different documents; other columns are not read.
     """
     spark = docs.sparkSession
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     keys = [f"k{i}" for i in range(len(keep))]
-    base = docs.select(*named, F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    base = written(base.select(*keys, "source", "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), permutation_key(seed, F.col("k0")).alias("perm")), "mix-sizes")
+    base = docs.select(*named, F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"))
+    base = written(base.select(*keys, "source", "size", "tie", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source_key"), permutation_key(seed, F.col("k0")).alias("perm")), "mix-sizes")
     bits = max(8, (at_least(1, base.count(), ROWS_PER_BUCKET) - 1).bit_length() + 4)
     base = base.withColumn("bucket", F.shiftright("perm", 60 - bits))
     buckets = base.groupBy("source_key", "source", "bucket").agg(F.sum("size").alias("words"))
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, keep: tuple[str, .
         .join(sources.select("source_key", "source_size", "target"), "source_key")
         .join(cut_rows, "source_key")
     )
-    in_bucket = Window.partitionBy("source_key", "bucket").orderBy("perm", *keys, "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("source_key", "bucket").orderBy("perm", "k0", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = base.withColumn("within", F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).join(offsets, ["source_key", "bucket"])
     first = F.col("words_before") + F.col("within")
     # A copy is taken if its middle lies before the target: the words taken come within half a document of it.
@@ -133,7 +133,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 7, keep: tuple[str, .
         lambda c: F.struct(
             c["repeat"].alias("repeat"),
             F.size(F.filter("cuts", lambda x: x <= F.floor((c["start"] + F.col("size") / F.lit(2.0)) / F.lit(block)))).alias("shard"),
-            F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], c["repeat"]).alias("position"),
+            F.xxhash64(F.lit(seed), F.col("k0"), F.col("tie"), c["repeat"]).alias("position"),
         ),
     )
     return placed.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", dealt.alias("copies"))

@@ -267,13 +267,13 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
 
 
 def with_crc32(pieces: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``: crc32 of the ids as little-endian unsigned 32-bit numbers."""
+    """``ids`` replaced by ``ids_crc32``: crc32 of the ids as little-endian unsigned 32-bit numbers; ``uid`` comes last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("ids")
             flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(crc, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(crc, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset", "uid"))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "uid"])
 
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, uid long")

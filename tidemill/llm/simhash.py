@@ -64,7 +64,7 @@ def fingerprint(text: str | None) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -132,23 +132,29 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(kept[:, 0]), "b": pa.array(kept[:, 1])})
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``fp`` and the ``keep`` columns (as ``k0``, ``k1``, ...) of each row."""
+    kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    schema = "".join(f", {c} {t}" for c, t in kept.dtypes[2:])
+    return kept.mapInArrow(_scan, f"doc_id long, fp long{schema}")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` (long), ``component_id``, the smallest id that links lead to.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` (long), ``component_id``, ``kept`` and the ``keep`` columns.
 
-    Null and empty texts have fingerprint 0 and link like any other; repeated ids and rows stay, each with its own
-    fingerprint; a null id takes part in links but is nobody's component while there is another; an empty table gives
-    no rows; other columns are not read.
+    ``component_id`` is the smallest id that links lead to; ``kept`` is true for one document of each component, one
+    with that id. Null and empty texts have fingerprint 0 and link like any other; repeated ids and rows stay, each with
+    its own fingerprint; a null id takes part in links but names no component while there is another id; an empty table
+    gives no rows; columns that are not named are not read.
     """
-    prints = written(fingerprints(docs, doc_id, text), "simhash-prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    prints = written(fingerprints(docs, doc_id, text, keep).withColumn("uid", F.monotonically_increasing_id()), "simhash-prints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    nodes = written(prints.groupBy("fp").agg(F.min(first).alias("least")), "simhash-nodes")
     buckets = at_least(128, nodes.count() * len(_KEEP) * VARIANT_BYTES, BUCKET_BYTES)
     edges = nodes.select("fp").mapInArrow(_emit(buckets), "bucket int, fps binary, codes binary").groupBy("bucket").applyInArrow(_meet, "a long, b long")
     found = components(edges)
     of_node = written(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
-    least = written(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    of_print = written(of_node.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(of_print, "fp")
+    least = written(of_node.groupBy("root").agg(F.min("least").alias("least")), "simhash-least")
+    of_print = written(of_node.drop("least").join(least, "root").select("fp", "least"), "simhash-classes")
+    named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return prints.join(of_print, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"), (F.col("uid") == F.col("least.uid")).alias("kept"), *named)

@@ -330,6 +330,12 @@ def _answer_shards(t: pa.Table) -> pa.Table:
 # -- removing
 
 
+def _remove_as_text(left: pa.Table, right: pa.Table) -> pa.Table:
+    out = _remove(left, right)
+    texts = pa.array([b.decode("utf-8", "ignore") for b in out.column("kept_bytes").to_pylist()], pa.string())
+    return out.set_column(out.num_columns - 1, "kept_text", texts)
+
+
 def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
     docs, p = _part(left.column("docs")[0].as_py())
     gone = np.zeros(len(p.bytes) + 1, np.int32)
@@ -360,9 +366,11 @@ def _remove(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table(columns | {"n_bytes": pa.array(p.lengths), "spans": spans, "kept_bytes": pa.array(kept, pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id: str = "doc_id", text: str = "text", as_text: bool = False) -> DataFrame:
     """One row per document: ``keep`` columns, ``n_bytes``, ``spans`` (array of ``start``, ``length``: what goes), ``kept_bytes``.
 
+    With ``as_text`` the last column is ``kept_text``, without the characters that a cut has left incomplete.
+
     A null text counts as empty. Documents with one id do not remove each other's bytes, so neither do repeated rows;
     a null id is larger than all others. Texts shorter than LEAST bytes are kept whole. An empty table gives no rows;
     ``keep`` names are free, other columns are not read. What is kept can end within a character: it is bytes.
@@ -378,5 +386,5 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
     back = sorted_.unionByName(sent.where("shard < 0").select("part", "shard", F.col("places").alias("answer")))
     types = dict(chosen.dtypes)
     schema = ", ".join(f"k{i} {types[f'k{i}']}" for i in range(len(keep)))
-    out = packed.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_remove, f"{schema}, n_bytes long, spans array<struct<start: long, length: long>>, kept_bytes binary")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept_bytes")
+    out = packed.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_remove_as_text if as_text else _remove, f"{schema}, n_bytes long, spans array<struct<start: long, length: long>>, {'kept_text string' if as_text else 'kept_bytes binary'}")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_bytes", "spans", "kept_text" if as_text else "kept_bytes")
