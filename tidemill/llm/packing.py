@@ -17,6 +17,7 @@ the pieces of that length in earlier parts. No length, however frequent, is gath
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,15 +33,23 @@ from .shared import written
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps.
-CACHE = 400_000
+#: Words whose ids a worker keeps, twice.
+CACHE = 250_000
 ITERATIONS = 200
 
 
+#: Texts of these characters only are split here: what the tokenizer does with them is known from its file. They are in
+#: composed form, have plain lower-case forms, and white space and letters are the same to Python and the tokenizer.
+_plain = re.compile("[\\t\\n\\r\\x20-\\x7e¡¿À-ÖØ-įı-ɏ]*").fullmatch
+#: The tokenizer's own pattern for these characters.
+_split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-zß-öø-ɏ0-9]+").findall
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins across white space, word by word with a cache.
+    """Ids of whole texts by a tokenizer that lower-cases, splits by a pattern and marks each word's last token.
 
-    Texts that hold one of the tokenizer's special tokens go to the tokenizer whole.
+    Words are encoded once and kept, those used lately longest. Texts with other characters than ``_plain`` ones, or with
+    one of the tokenizer's special tokens, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -53,24 +62,41 @@ class WordTokenizer:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def learn(self, words: set[str]) -> None:
+        new = []
+        for w in words:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+            else:
+                new.append(w)
+        if new:
+            ids = self._encode(" ".join(new))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(new, (ends * 2).tolist(), strict=True):
+                self.known[w] = raw[at:end]
+                at = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as unsigned 16-bit numbers."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 128):
-            part = texts[i : i + 128]
-            split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in part]
+        for i in range(0, len(texts), 64):
+            part = texts[i : i + 64]
+            split = [None if not _plain(t) or any(s in t for s in self.special) else _split(t.lower()) for t in part]
             if len(self.known) > CACHE:
-                self.known = {"": b""}
-            new = list({w for words in split for w in words if w not in self.known})
-            self.known.update(zip(new, self._encode(new), strict=True))
-            for text, words in zip(part, split, strict=True):
-                whole = any(s in text for s in self.special)
-                out.append(self._encode([text])[0] if whole else b"".join(map(self.known.__getitem__, words)))
+                self.known, self.older = {}, self.known
+            self.learn({w for words in split if words for w in words}.difference(self.known))
+            out += [self._encode(t).tobytes() if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(part, split, strict=True)]
         return out
 
 
