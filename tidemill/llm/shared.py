@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ def drop_written(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, without waiting for the driver's heap to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for a scan, the size of its files. Only the number of buckets depends on it, never a result."""
     return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -161,15 +161,18 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     return _induce(t, starts[order])[0]
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Permuted: for each suffix, in text order, how many characters, up to ``most``, it shares with the one before it in order."""
+def common_prefixes(t: np.ndarray, order: np.ndarray, most: int, of: np.ndarray | None = None) -> np.ndarray:
+    """Permuted: for each suffix, in text order, how many characters, up to ``most``, it shares with the one before it in order.
+
+    ``of``: the suffixes to look at, all by default; the others get 0.
+    """
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     padded = np.concatenate([t, np.zeros(most + 16, np.uint8)])
     eight = np.ndarray((n + most + 8,), "<u8", buffer=padded, strides=(1,))
     out = np.zeros(n, np.int32)
-    here = np.flatnonzero(before >= 0)
+    here = np.flatnonzero(before >= 0) if of is None else of[before[of] >= 0]
     for k in range(0, most, 8):
         x = eight[here + k] ^ eight[before[here] + k]
         # Equal bytes at the low end of the difference.

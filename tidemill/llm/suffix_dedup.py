@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_least, estimated_bytes, written
+from .shared import at_least, estimated_bytes, release_shuffles, written
 from .suffix_arrays import common_prefixes, suffix_array
 
 LEAST = 50
-GRAM = 24
+GRAM = 20
 #: Windows of a run at most.
 LONGEST_RUN = 64
 PART_BYTES = 2 << 20
@@ -86,7 +86,7 @@ class Part:
             self.run_key = np.zeros(0, np.uint64)
             return
         n = len(self.bytes) - GRAM + 1
-        low = _mixed(self.eight[:n] * _A ^ _mixed(self.eight[8 : 8 + n] * _B) ^ self.eight[16 : 16 + n] * _C)
+        low = _mixed(self.eight[:n] * _A ^ _mixed(self.eight[8 : 8 + n] * _B) ^ self.eight[GRAM - 8 : GRAM - 8 + n] * _C)
         wide, have = LEAST - GRAM + 1, 1
         while have < wide:
             step = min(have, wide - have)
@@ -118,17 +118,28 @@ class Part:
             here = here[left > 8]
         return out
 
-    def keys(self) -> None:
-        """``key`` (each once, in order), ``key_of_run``, and of each key its surroundings and whether two documents have it."""
+    def keys(self, ask: bool) -> None:
+        """``key`` (each once, in order) and ``key_of_run``; to ask, of each key its surroundings and whether two documents have it."""
         self.runs()
-        self.key, self.key_of_run = np.unique(self.run_key, return_inverse=True)
-        doc = self.ids[self.doc[self.run_start]]
-        low, high = np.full(len(self.key), _NOBODY), np.full(len(self.key), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.key_of_run, doc)
-        np.maximum.at(high, self.key_of_run, doc)
-        self.two = low != high
-        text = np.unique(np.stack([self.key_of_run.astype(np.uint64), self.digest(self.run_start, self.run_size + LEAST - 1)], 1), axis=0) if self.two.any() else None
-        self.around = np.bincount(text[:, 0].astype(np.int64), minlength=len(self.key)) if text is not None else np.bincount(self.key_of_run, minlength=len(self.key))
+        order = np.argsort(self.run_key)
+        key = self.run_key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        first = np.flatnonzero(new)
+        nth = np.cumsum(new) - 1
+        self.key, self.key_of_run = key[first], np.empty(len(key), np.int64)
+        self.key_of_run[order] = nth
+        if not ask or not len(key):
+            return
+        doc = self.ids[self.doc[self.run_start[order]]]
+        self.two = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        self.around = np.ones(len(first), np.int64)
+        again = np.repeat(np.diff(np.append(first, len(key))) > 1, np.diff(np.append(first, len(key))))
+        if again.any():
+            runs = order[again]
+            text = self.digest(self.run_start[runs], self.run_size[runs] + LEAST - 1)
+            pair = np.unique((nth[again].astype(np.uint64) << np.uint64(40)) | (text >> np.uint64(24)))
+            k, n = np.unique(pair >> np.uint64(40), return_counts=True)
+            self.around[k.astype(np.int64)] = n
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -187,7 +198,7 @@ def _ask_keys(buckets: int):
         for batch in batches:
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, p = _part(packed)
-                p.keys()
+                p.keys(ask=True)
                 if not len(p.key):
                     continue
                 five = np.ascontiguousarray(p.key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
@@ -233,7 +244,7 @@ def _ask_shards(buckets: int):
         if not left.num_rows or not right.num_rows:
             return none
         _, p = _part(left.column("docs")[0].as_py())
-        p.keys()
+        p.keys(ask=False)
         answers = dict(zip(right.column("bucket").to_pylist(), right.column("answer").to_pylist(), strict=True))
         state = np.zeros(len(p.key), np.uint8)
         for b, at in _slices(_bucket(p.key, buckets)):
@@ -287,7 +298,7 @@ def least_owners(texts: np.ndarray, lengths: np.ndarray, owners: np.ndarray) ->
     windows = lengths - LEAST + 1
     valid = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     order = suffix_array(t, depth=LEAST + 8)
-    shared = common_prefixes(t, order, LEAST)
+    shared = common_prefixes(t, order, LEAST, valid)
     is_window = np.zeros(len(t), bool)
     is_window[valid] = True
     order = order[is_window[order]]
@@ -382,6 +393,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
     shared = asked.groupBy("bucket").applyInArrow(_answer_keys, "part long, bucket int, answer binary")
     sent = packed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_ask_shards(buckets), "part long, shard int, lengths binary, owners binary, texts binary, places binary")
     sent = written(sent, "suffix-runs")
+    del asked, shared
+    release_shuffles(docs.sparkSession)
     sorted_ = sent.where("shard >= 0").select("part", "shard", "lengths", "owners", "texts").groupBy("shard").applyInArrow(_answer_shards, "part long, shard int, answer binary")
     back = sorted_.unionByName(sent.where("shard < 0").select("part", "shard", F.col("places").alias("answer")))
     types = dict(chosen.dtypes)
