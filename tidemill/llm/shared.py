@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +52,10 @@ def drop_written(df: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, without waiting for the driver's heap to fill."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees on either side is seen by the second
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def estimated_bytes(df: DataFrame) -> int:
