@@ -34,9 +34,9 @@ LEAST = 50
 GRAM = 20
 #: Windows of a run at most.
 LONGEST_RUN = 64
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 #: Bytes of input, as stored, for each bucket.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
 #: Distinct surroundings of a key, summed over parts, above which its windows are dealt out one by one.
 HOT = 256
 END = 0xFF  # no byte of UTF-8
@@ -51,7 +51,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=5).compress(data)
 
 
 def _unpacked(data: bytes) -> bytes:
