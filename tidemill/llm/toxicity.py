@@ -38,25 +38,33 @@ LONGEST_LANDMARK = 12
 #: Share of a landmark's neighbouring characters that a word must have in order, up to two characters apart.
 SHARED_PAIRS = 0.6
 #: Smaller features count as none.
-FLOOR = 0.2
+FLOOR = 0.3
 SENTENCES_KEPT = 5
-CACHE = 600_000
-#: Words and longest sentence, in words.
+CACHE = 300_000
+#: A sentence without an end is taken in parts of so many words.
 SENTENCE_WORDS = 60
 
 _letters = re.compile(r"[^\W\d_]+").findall
-#: Words with signs or digits put between their letters, and letters set apart by blanks or signs.
-_broken = re.compile(r"[^\W\d_]+(?:[^\s\w]{1,2}[^\W\d_]+|[\d_]{1,2}[^\W\d_]+)+|(?<!\w)[^\W\d_](?:[\W_]{1,2}[^\W\d_](?!\w)){2,}").findall
+#: Letters set apart by blanks or signs.
+_apart = re.compile(r"(?<!\w)[^\W\d_](?:[\W_]{1,2}[^\W\d_](?!\w)){2,}").findall
 _sentences = re.compile(r"[.!?\n]+(?=\s|$)").split
-_join = re.compile(r"[\s\W\d_]+").sub
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…—–"
 
 
-def units(sentence: str) -> list[str]:
-    """The words of a lower-case sentence, and what is left of broken words without the signs between the letters."""
-    found = _letters(sentence)
-    if broken := _broken(sentence):
-        found += [_join("", b) for b in broken]
-    return found
+def cores(token: str) -> list[str]:
+    """What a token between blanks is compared as: without signs around it; if signs or digits stand between its letters, its runs of letters and all its letters joined."""
+    core = token.strip(_SIGNS)
+    if core.isalpha():
+        return [core]
+    runs = _letters(core)
+    return [*runs, "".join(runs)] if len(runs) > 1 else runs
+
+
+def apart(text: str, tokens: set[str]) -> list[str]:
+    """Words whose letters stand apart, joined."""
+    if sum(len(t) == 1 for t in tokens) < 3 and not any(len(t.strip(_SIGNS)) == 1 for t in tokens if len(t) < 4):
+        return []
+    return ["".join(_letters(x)) for x in _apart(text)]
 
 
 def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -145,37 +153,50 @@ class Landmarks:
 
 
 class Reader:
-    """Features of words, kept over the documents of a worker."""
+    """Features of tokens, kept over the documents of a worker: None for nearly all."""
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
-        self.known: dict[str, tuple | None] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list(words)
-        f = self.landmarks.features(new)
-        some = f.any(1)
-        self.known.update(dict.fromkeys(new))
-        for i in np.flatnonzero(some):
-            self.known[new[i]] = f[i]
+        self.known: dict[str, np.ndarray | None] = {}
+        self.older: dict[str, np.ndarray | None] = {}
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        new = tokens.difference(self.known)
+        if seen := new.intersection(self.older):
+            self.known.update({t: self.older[t] for t in seen})
+            new -= seen
+        if not new:
+            return
+        parts = {t: cores(t) for t in new}
+        words = list({c for found in parts.values() for c in found}.difference(self.known))
+        self.known.update({w: self.older[w] for w in words if w in self.older})
+        words = [w for w in words if w not in self.known]
+        f = self.landmarks.features(words)
+        self.known.update(dict.fromkeys(words))
+        for i in np.flatnonzero(f.any(1)):
+            self.known[words[i]] = f[i]
+        for t, found in parts.items():
+            rows = [r for c in found if (r := self.known[c]) is not None]
+            self.known[t] = None if not rows else rows[0] if len(rows) == 1 else np.max(rows, axis=0)
 
     def sentences(self, text: str) -> np.ndarray:
         """Features of the document's sentences that have any, a row for each."""
-        split = []
-        for s in _sentences(text.lower()):
-            u = units(s)
-            split += [u[i : i + SENTENCE_WORDS] for i in range(0, len(u), SENTENCE_WORDS)]
-        rows = []
-        for at in range(0, len(split), 2048):
-            some = split[at : at + 2048]
-            self.learn({w for u in some for w in u})
-            for u in some:
-                found = [f for w in u if (f := self.known[w]) is not None]
-                if found:
-                    rows.append(np.max(found, axis=0) if len(found) > 1 else found[0])
+        text = text.lower()
+        tokens = set(text.split())
+        joined = apart(text, tokens)
+        self.learn(tokens | set(joined))
+        known = self.known
+        hits = {t: f for t in tokens if (f := known[t]) is not None}
+        rows = [f for j in joined if (f := known[j]) is not None]
+        for s in _sentences(text) if hits else ():
+            words = s.split()
+            found = [i for i, t in enumerate(words) if t in hits]
+            while found:
+                near = [hits[words[i]] for i in found if i < found[0] + SENTENCE_WORDS]
+                rows.append(np.max(near, axis=0) if len(near) > 1 else near[0])
+                found = found[len(near) :]
         return np.array(rows).reshape(-1, len(self.landmarks.words))
 
 
@@ -250,7 +271,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[1 if toxic else 0].update(set(units(text.lower())))
+            counts[1 if toxic else 0].update({c for t in set(text.lower().split()) for c in cores(t)})
         every = list(counts[1].keys() | counts[0].keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([counts[1][w] for w in every], pa.int64()), pa.array([counts[0][w] for w in every], pa.int64())], ["word", "toxic", "clean"])
 
