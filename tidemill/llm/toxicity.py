@@ -164,7 +164,8 @@ class Reader:
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
         new = tokens.difference(self.known)
-        if seen := new.intersection(self.older):
+        if self.older:
+            seen = {t for t in new if t in self.older}
             self.known.update({t: self.older[t] for t in seen})
             new -= seen
         if not new:
