@@ -52,10 +52,10 @@ def drop_written(df: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, without waiting for the driver's heap to fill."""
-    for _ in range(2):  # what the first round frees on either side is seen by the second
+    for _ in range(3):  # what one round frees on either side is seen by the next
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(1.0)
 
 
 def estimated_bytes(df: DataFrame) -> int:

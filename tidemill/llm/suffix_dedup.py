@@ -34,9 +34,9 @@ LEAST = 50
 GRAM = 20
 #: Windows of a run at most.
 LONGEST_RUN = 64
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Bytes of input, as stored, for each bucket.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 3 << 20
 #: Distinct surroundings of a key, summed over parts, above which its windows are dealt out one by one.
 HOT = 256
 END = 0xFF  # no byte of UTF-8
@@ -159,7 +159,7 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId() << 24
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
 
     def row(table: pa.Table) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
