@@ -1 +1,79 @@
+"""Joins, windows and set operations that take more than one built-in call."""
 
+from __future__ import annotations
+
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def as_of_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, tie: str) -> DataFrame:
+    """``left`` with the ``value`` of the latest ``right`` row of its key at or before its time; null if none.
+
+    Both sides are sorted once by (key, time) and swept, so a key with many rows on both sides never forms pairs.
+    """
+    l = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(False).alias("_has"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"))
+    r = right.select(F.col(key), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(True).alias("_has"), F.col(tie).alias("_tie"))
+    sweep = Window.partitionBy(key).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_last", F.last(F.when(F.col("_has"), F.struct("_v")), ignorenulls=True).over(sweep))
+    return both.where("_side = 1").withColumn(f"last_{value}", F.col("_last._v")).drop("_t", "_side", "_v", "_has", "_tie", "_last")
+
+
+def range_lookup(facts: DataFrame, periods: DataFrame, date: Column, start: str, end: str, on: Column | None = None) -> DataFrame:
+    """Left join of facts with the period that holds their date. Without ``on`` the periods must be few, as calendars are."""
+    between = date.between(F.col(start), F.col(end))
+    return facts.join(periods, between if on is None else on & between, "left")
+
+
+def point_in_time(facts: DataFrame, history: DataFrame, key: str, at: str) -> DataFrame:
+    """Left join with the version of the key that was valid then: from ``valid_from``, before ``valid_to`` (null: open)."""
+    h = history.withColumnRenamed(key, "_key")
+    return facts.join(h, (facts[key] == h["_key"]) & (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to"))), "left").drop("_key")
+
+
+def union_all(frames: Iterable[DataFrame]) -> DataFrame:
+    """Union by name of frames with equal columns and types; any drift raises."""
+    frames = list(frames)
+    want = dict(frames[0].dtypes)
+    for f in frames[1:]:
+        if dict(f.dtypes) != want:
+            raise ValueError(f"columns differ: {sorted(set(f.dtypes) ^ set(frames[0].dtypes))}")
+    return reduce(DataFrame.unionByName, frames)
+
+
+def override(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``base`` that ``other`` has no row for, and the rows of ``other``."""
+    return base.join(other.select(*keys).distinct(), keys, "left_anti").unionByName(other)
+
+
+def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """One row of each key. The order should end in a unique column."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def full_outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Full outer join of several frames on coalesced keys; null keys match each other."""
+    def two(a: DataFrame, b: DataFrame) -> DataFrame:
+        r = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+        on = reduce(lambda x, y: x & y, [a[k].eqNullSafe(r[f"_{k}"]) for k in keys])
+        return a.join(r, on, "full").select(*[F.coalesce(a[k], r[f"_{k}"]).alias(k) for k in keys], *[a[c] for c in a.columns if c not in keys], *[r[c] for c in b.columns if c not in keys])
+
+    return reduce(two, frames)
+
+
+def year_counter(years: DataFrame, start: str, end: str, as_of) -> DataFrame:
+    """``FyCounter``: 0 for the year that holds ``as_of``, -1, -2, ... before it and 1, 2, ... after it."""
+    now = F.lit(as_of)
+    past, future = F.col(end) < now, F.col(start) > now
+    back = F.row_number().over(Window.partitionBy(past).orderBy(F.col(start).desc()))
+    ahead = F.row_number().over(Window.partitionBy(future).orderBy(F.col(start)))
+    return years.withColumn("FyCounter", F.when(past, -back).when(future, ahead).otherwise(F.lit(0)))
+
+
+def dense_grid(df: DataFrame, key: str, day: str) -> DataFrame:
+    """Every key with every month from the first to the last of the data."""
+    span = df.agg(F.min(F.trunc(day, "month")).alias("lo"), F.max(F.trunc(day, "month")).alias("hi"))
+    months = span.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month"))
+    return df.select(key).distinct().crossJoin(months)

@@ -1 +1,161 @@
+"""Sources and sinks: seeds, catalog probes, incremental upserts, snapshots, text tables."""
 
+from __future__ import annotations
+
+import json
+import re
+import uuid
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+def empty_clone(df: DataFrame) -> DataFrame:
+    return df.limit(0)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class VersionedTable:
+    """A Parquet table whose current version a pointer file names: a writer makes a new folder, then moves the pointer.
+
+    Readers see the old rows or the new. ``protected`` refuses to be replaced; a schema change may add columns only.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], partition_by: tuple[str, ...] = (), protected: bool = False):
+        self.spark, self.path, self.keys, self.partition_by, self.protected = spark, path.rstrip("/"), keys, partition_by, protected
+
+    def current(self) -> DataFrame | None:
+        p, fs = _path(self.spark, f"{self.path}/CURRENT")
+        return self.spark.read.parquet(f"{self.path}/{self.spark.read.text(str(p)).first()[0]}") if fs.exists(p) else None
+
+    def _publish(self, df: DataFrame) -> None:
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        hidden, fs = _path(self.spark, f"{self.path}/_{name}")
+        out = fs.create(hidden, True)
+        out.write(bytearray(name.encode()))
+        out.close()
+        target, _ = _path(self.spark, f"{self.path}/CURRENT")
+        fs.delete(target, False)
+        fs.rename(hidden, target)
+
+    def replace(self, df: DataFrame) -> None:
+        if self.protected and self.current() is not None:
+            raise PermissionError(f"{self.path} is never fully refreshed")
+        self._publish(df)
+
+    def upsert(self, batch: DataFrame) -> None:
+        """Rows of the batch take the place of those with their keys; new columns are null in old rows."""
+        old = self.current()
+        if old is None:
+            return self._publish(batch)
+        if gone := set(old.columns) - set(batch.columns):
+            raise ValueError(f"the batch lacks {sorted(gone)}")
+        kept = old.join(batch.select(*self.keys), self.keys, "left_anti")
+        self._publish(kept.unionByName(batch, allowMissingColumns=True))
+
+    def since(self, column: str, lookback: timedelta):
+        """The value from which an incremental run reads again, as a literal so that scans can prune by it; None at first."""
+        old = self.current()
+        last = old.agg(F.max(column)).first()[0] if old is not None else None
+        return last - lookback if last is not None else None
+
+
+def snapshot(history: DataFrame | None, current: DataFrame, key: str, check: list[str], now: Column) -> DataFrame:
+    """The next state of a type-2 history with ``valid_from``, ``valid_to`` and ``is_deleted``.
+
+    A key with another value in a checked column gets a new version; a key that is gone gets a version that says so; one
+    that comes back gets a new version.
+    """
+    fresh = current.withColumn("is_deleted", F.lit(False)).withColumn("valid_from", now).withColumn("valid_to", F.lit(None).cast("timestamp"))
+    if history is None:
+        return fresh
+    columns = fresh.columns
+    closed, open_ = history.where("valid_to is not null"), history.where("valid_to is null")
+    seen = current.select(F.col(key).alias("_k"), F.struct(*check).alias("_new"))
+    both = open_.join(seen, open_[key] == seen["_k"], "left")
+    same = F.col("_k").isNotNull() & F.struct(*check).eqNullSafe(F.col("_new")) & ~F.col("is_deleted")
+    stays = same | (F.col("_k").isNull() & F.col("is_deleted"))
+    kept = both.withColumn("valid_to", F.when(~stays, now)).select(*columns)
+    gone = both.where(F.col("_k").isNull() & ~F.col("is_deleted")).withColumn("is_deleted", F.lit(True)).withColumn("valid_from", now).withColumn("valid_to", F.lit(None).cast("timestamp")).select(*columns)
+    unchanged = both.where(same).select(open_[key])
+    new = fresh.join(unchanged, key, "left_anti").select(*columns)
+    return closed.select(*columns).unionByName(kept).unionByName(gone).unionByName(new)
+
+
+def latest_timestamp(frames: list[tuple[DataFrame, str]], spark: SparkSession) -> DataFrame:
+    """The largest of several tables' columns; one null row without tables."""
+    out = spark.range(1).select(F.lit(None).cast("timestamp").alias("at"))
+    for df, c in frames:
+        out = out.unionByName(df.agg(F.max(c).cast("timestamp").alias("at")))
+    return out.agg(F.max("at").alias("latest"))
+
+
+def table_metadata(df: DataFrame, name: str, org: str, synced: str) -> DataFrame:
+    """Rows and last sync by org; an empty table gives one row with 0."""
+    by = df.groupBy(F.col(org).cast("string").alias("org")).agg(F.max(synced).alias("last_sync"), F.count(F.lit(1)).alias("n_rows"))
+    none = df.agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows = 0").select(F.lit(None).cast("string").alias("org"), F.lit(None).cast(by.schema["last_sync"].dataType).alias("last_sync"), "n_rows")
+    return by.unionByName(none).select(F.lit(name).alias("table_name"), "org", "last_sync", "n_rows")
+
+
+def stale_tables(spark: SparkSession, database: str, expected: set[str], dry_run: bool = True) -> list[str]:
+    """Tables that no model makes any more; dropped only if asked to."""
+    gone = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.name not in expected)
+    for t in [] if dry_run else gone:
+        spark.sql(f"DROP TABLE `{database}`.`{t}`")
+    return gone
+
+
+def schema_name(custom: str | None, target: str, default: str, verbatim: tuple[str, ...] = ("prod",), prod: str = "analytics") -> str:
+    """The custom name as it is for the targets that may use it, behind the default elsewhere, never the production one."""
+    out = default if not custom else custom if target in verbatim else f"{default}_{custom}"
+    if target not in verbatim and out == prod:
+        raise PermissionError(f"{target} would write to {prod}")
+    return out
+
+
+_BARE = re.compile(r"[A-Za-z_][\w .-]*").fullmatch
+
+
+def _cell(v) -> str:
+    if v is None or isinstance(v, (bool, int, float)):
+        return json.dumps(v)
+    text = str(v)
+    return text if _BARE(text) and text == text.strip() and text not in ("null", "true", "false") else json.dumps(text, ensure_ascii=False)
+
+
+def to_toon(name: str, df: DataFrame) -> str:
+    """Rows as a table in text: a header with their number and fields, then a line each. For small results: it streams to the driver."""
+    lines = [",".join(_cell(v) for v in r) for r in df.toLocalIterator()]
+    return "\n".join([f"{name}[{len(lines)}]{{{','.join(df.columns)}}}:", *[f"  {x}" for x in lines]])
+
+
+def from_toon(text: str) -> tuple[str, list[dict]]:
+    head, *lines = text.split("\n")
+    m = re.fullmatch(r"(\w+)\[(\d+)\]\{(.*)\}:", head)
+    if not m or int(m[2]) != len(lines):
+        raise ValueError("not a table")
+    cell = re.compile(r'\s*("(?:[^"\\]|\\.)*"|[^,]*)(?:,|$)')
+
+    def parse(line: str) -> list:
+        found, at = [], 0
+        fields = len(m[3].split(","))
+        for _ in range(fields):
+            c = cell.match(line, at)
+            at, raw = c.end(), c[1].strip()
+            try:
+                found.append(json.loads(raw))
+            except ValueError:
+                found.append(raw)
+        return found
+
+    return m[1], [dict(zip(m[3].split(","), parse(x.strip()), strict=True)) for x in lines]
