@@ -44,9 +44,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a table of :func:`written` that no later step reads."""
     spark = df.sparkSession
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    ours = make(f"{shared_dir(spark)}/tidemill").toUri().getPath() + "/"
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if f"{shared_dir(spark).rpartition(':')[2]}/tidemill/" in path.replace("///", "/"):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target = make(path)
+        if target.toUri().getPath().startswith(ours):
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_least, estimated_bytes, release_shuffles, written
+from .shared import at_least, drop_written, estimated_bytes, release_shuffles, written
 from .suffix_arrays import common_prefixes, suffix_array
 
 LEAST = 50
@@ -38,7 +38,9 @@ PART_BYTES = 2 << 20
 #: Bytes of input, as stored, for each bucket.
 BUCKET_BYTES = 3 << 20
 #: Distinct surroundings of a key, summed over parts, above which its windows are dealt out one by one.
-HOT = 256
+HOT = 3000
+#: Bytes that are sorted at once: their arrays should fit a processor's cache.
+SORTED_BYTES = 1 << 20
 END = 0xFF  # no byte of UTF-8
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -202,7 +204,7 @@ def _ask_keys(buckets: int):
                 if not len(p.key):
                     continue
                 five = np.ascontiguousarray(p.key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-                rows = [(b, five[at].tobytes(), _packed(np.stack([np.minimum(p.around[at], 255), p.two[at]]).astype(np.uint8).tobytes())) for b, at in _slices(_bucket(p.key, buckets))]
+                rows = [(b, five[at].tobytes(), _packed(np.stack([np.minimum(p.around[at], 65535), p.two[at]]).astype("<u2").tobytes())) for b, at in _slices(_bucket(p.key, buckets))]
                 b, k, c = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([name] * len(rows), pa.int64()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], ["bucket", "part", "keys", "counts"])
 
@@ -215,7 +217,7 @@ def _answer_keys(t: pa.Table) -> pa.Table:
         raw = np.zeros((len(k) // 5, 8), np.uint8)
         raw[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
         keys.append(raw.view("<u8").ravel())
-        counts.append(np.frombuffer(_unpacked(c), np.uint8).reshape(2, -1))
+        counts.append(np.frombuffer(_unpacked(c), "<u2").reshape(2, -1))
         sizes.append(len(raw))
     key, count = np.concatenate(keys), np.concatenate(counts, axis=1)
     order = np.argsort(key)
@@ -240,7 +242,7 @@ def _answer_keys(t: pa.Table) -> pa.Table:
 
 def _ask_shards(buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"part": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "lengths": pa.array([], pa.binary()), "owners": pa.array([], pa.binary()), "texts": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
+        none = pa.table({"part": pa.array([], pa.int64()), "shard": pa.array([], pa.int32()), "lengths": pa.array([], pa.binary()), "groups": pa.array([], pa.binary()), "owners": pa.array([], pa.binary()), "texts": pa.array([], pa.binary()), "places": pa.array([], pa.binary())})
         if not left.num_rows or not right.num_rows:
             return none
         _, p = _part(left.column("docs")[0].as_py())
@@ -272,16 +274,16 @@ def _ask_shards(buckets: int):
         for b, at in _slices(_bucket(shard_key[first], buckets)):
             s, n = start[first[at]], length[first[at]]
             spread = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            rows.append((b, _packed(n.astype("<u2").tobytes()), _packed(owner[at].astype("<i8").tobytes()), _packed(p.bytes[spread].tobytes()), b""))
+            rows.append((b, _packed(n.astype("<u2").tobytes()), (shard_key[first[at]] & np.uint64(255)).astype(np.uint8).tobytes(), _packed(owner[at].astype("<i8").tobytes()), _packed(p.bytes[spread].tobytes()), b""))
             place[at] = np.arange(done, done + len(at))
             done += len(at)
         # For the part itself: where each entry's texts are, in the order of the shards' answers.
         by = np.lexsort((start, place[entry]))
         mine = np.stack([np.diff(place[entry][by], prepend=0), start[by], length[by]]).astype("<i4")
-        rows.append((-1, b"", b"", b"", _packed(mine.tobytes())))
-        shard, lengths, owners, texts, places = zip(*rows, strict=True)
+        rows.append((-1, b"", b"", b"", b"", _packed(mine.tobytes())))
+        shard, lengths, groups, owners, texts, places = zip(*rows, strict=True)
         name = left.column("part")[0].as_py()
-        return pa.table({"part": pa.array([name] * len(rows), pa.int64()), "shard": pa.array(shard, pa.int32()), "lengths": pa.array(lengths, pa.binary()), "owners": pa.array(owners, pa.binary()), "texts": pa.array(texts, pa.binary()), "places": pa.array(places, pa.binary())})
+        return pa.table({"part": pa.array([name] * len(rows), pa.int64()), "shard": pa.array(shard, pa.int32()), "lengths": pa.array(lengths, pa.binary()), "groups": pa.array(groups, pa.binary()), "owners": pa.array(owners, pa.binary()), "texts": pa.array(texts, pa.binary()), "places": pa.array(places, pa.binary())})
 
     return run
 
@@ -325,9 +327,16 @@ def _answer_shards(t: pa.Table) -> pa.Table:
     least = np.full(len(distinct), _NOBODY)
     np.minimum.at(least, which, owners)
     sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    found = least_owners(np.frombuffer(b"".join(distinct), np.uint8), sizes, least)
     windows = sizes - LEAST + 1
     begin = np.cumsum(windows) - windows
+    # Equal windows have equal keys, so texts of different keys need not be sorted together.
+    group = np.zeros(len(distinct), np.int64)
+    group[which] = np.frombuffer(b"".join(t.column("groups").to_pylist()), np.uint8)
+    group %= max(1, -(-int(sizes.sum()) // SORTED_BYTES))
+    found = np.empty(windows.sum(), np.int64)
+    for _, at in _slices(group):
+        k = windows[at]
+        found[np.repeat(begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())] = least_owners(np.frombuffer(b"".join([distinct[i] for i in at]), np.uint8), sizes[at], least[at])
     out, at = [], 0
     for n in lengths:
         w = which[at : at + len(n)]
@@ -391,12 +400,15 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
     buckets = at_least(64, estimated_bytes(packed), BUCKET_BYTES)
     asked = packed.mapInArrow(_ask_keys(buckets), "bucket int, part long, keys binary, counts binary")
     shared = asked.groupBy("bucket").applyInArrow(_answer_keys, "part long, bucket int, answer binary")
-    sent = packed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_ask_shards(buckets), "part long, shard int, lengths binary, owners binary, texts binary, places binary")
+    sent = packed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_ask_shards(buckets), "part long, shard int, lengths binary, groups binary, owners binary, texts binary, places binary")
     sent = written(sent, "suffix-runs")
     del asked, shared
     release_shuffles(docs.sparkSession)
-    sorted_ = sent.where("shard >= 0").select("part", "shard", "lengths", "owners", "texts").groupBy("shard").applyInArrow(_answer_shards, "part long, shard int, answer binary")
-    back = sorted_.unionByName(sent.where("shard < 0").select("part", "shard", F.col("places").alias("answer")))
+    sorted_ = sent.where("shard >= 0").select("part", "shard", "lengths", "groups", "owners", "texts").groupBy("shard").applyInArrow(_answer_shards, "part long, shard int, answer binary")
+    back = written(sorted_.unionByName(sent.where("shard < 0").select("part", "shard", F.col("places").alias("answer"))), "suffix-answers")
+    drop_written(sent)
+    del sorted_, sent
+    release_shuffles(docs.sparkSession)
     types = dict(chosen.dtypes)
     schema = ", ".join(f"k{i} {types[f'k{i}']}" for i in range(len(keep)))
     out = packed.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_remove_as_text if as_text else _remove, f"{schema}, n_bytes long, spans array<struct<start: long, length: long>>, {'kept_text string' if as_text else 'kept_bytes binary'}")
