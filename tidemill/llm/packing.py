@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import kept_by_worker, written
 
 WINDOW = 2048
 END_ID = 1
@@ -205,7 +205,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, full, row, tokenizer = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0, 0, None
         for batch in batches:
-            tokenizer = tokenizer or _tokenizer(path)
+            tokenizer = tokenizer or kept_by_worker(("tokenizer", path), lambda: WordTokenizer(path))
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
                 ids = [b + END_ID.to_bytes(2, "little") for b in tokenizer([t or "" for t in some.column(1).to_pylist()])]
@@ -226,16 +226,6 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, uid long, doc_id long, doc_tokens long, rest int, rank long, full_before long, ids binary"), "pack-tokens")
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(path: str) -> WordTokenizer:
-    """A worker keeps its tokenizer, with the words that it has seen, for its next tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
-
-
 PIECES = "uid long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 

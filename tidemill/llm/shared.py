@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_kept: dict = {}
+
+
+def kept_by_worker(key, make):
+    """What a worker has made for this key, kept for its next tasks; one thing at a time, so that caches do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

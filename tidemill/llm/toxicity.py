@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import kept_by_worker, written
 
 MAX_TRAIN_ROWS = 12_000
 LANDMARKS = 40
@@ -40,7 +40,7 @@ SHARED_PAIRS = 0.6
 #: Smaller features count as none.
 FLOOR = 0.3
 SENTENCES_KEPT = 5
-CACHE = 300_000
+CACHE = 200_000
 #: A sentence without an end is taken in parts of so many words.
 SENTENCE_WORDS = 60
 
@@ -336,24 +336,17 @@ def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)
     """
     sent = docs.sparkSession.sparkContext.broadcast(machine)  # LANDMARKS words and their weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _reader(sent.value.landmarks)
-        for batch in batches:
-            s = [sent.value.score(reader, t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], [*batch.schema.names[:-1], "score"])
+    at = keep.index(text) if text in keep else len(keep)
 
-    left = docs.select(*keep, F.col(text).alias("text_"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes[:-1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value.landmarks
+        reader = kept_by_worker(("toxicity", *marks.words), lambda: Reader(marks))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                batch = whole.slice(i, 512)
+                s = [sent.value.score(reader, t) for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(s, pa.float64())], [*batch.schema.names[: len(keep)], "score"])
+
+    left = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col(text).alias("text_"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes[: len(keep)])
     return left.mapInArrow(run, f"{schema}, score double")
-
-
-_readers: dict[tuple, Reader] = {}
-
-
-def _reader(landmarks: Landmarks) -> Reader:
-    """A worker keeps what it has learned about words for its next tasks with the same landmarks."""
-    key = tuple(landmarks.words)
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(landmarks)
-    return _readers[key]
