@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import lean_batches, written
+
 MAX_TRAIN_ROWS = 12_000
 MAX_WORDS = 60_000
 MAX_GRAMS = 60_000
@@ -52,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for g in grams(w, n):
                         pieces[g] += c
             for kind, counts in (("w", words), ("g", pieces)):
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts)), pa.array(list(counts), pa.string()), pa.array([lang] * len(counts)), pa.array(list(counts.values()), pa.int64())], ["kind", "unit", "lang", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array([lang] * len(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "unit", "lang", "n"])
 
 
 class Model:
@@ -63,11 +65,14 @@ class Model:
         self.index: dict[str, dict[str, int]] = {}
         rows = []
         for kind, table in counts.items():
+            self.index[kind] = {}
+            if not table:
+                continue
             raw = np.array([[c.get(lang, 0) for lang in langs] for c in table.values()], float).reshape(-1, len(langs))
             logs = np.log((raw + 0.5) / (raw.sum(0) + 0.5 * max(1, len(table))))
             self.index[kind] = {u: len(rows) + i for i, u in enumerate(table)}
             rows.extend(logs - logs.mean(1, keepdims=True))
-        self.rows = np.array(rows).reshape(-1, len(langs))
+        self.rows = np.array(rows) if rows else np.zeros((0, len(langs)))
 
     def unseen(self, word: str) -> np.ndarray:
         weight, known = 1.0, self.index.get("g", {})
@@ -117,14 +122,13 @@ class Predictor:
 
 def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """From ``doc_id``, ``text``, ``lang``; rows without a text or language teach nothing."""
+    lean_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null")
     n = rows.count()
     share = 1.0 if n <= max_train_rows else max_train_rows / n
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = chosen.select("text", "lang").mapInArrow(_count, "kind string, unit string, lang string, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
     by_unit = counts.groupBy("kind", "unit").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    from .shared import written
-
     by_unit = written(by_unit, "language-counts")
     tables = {k: {r.unit: r.by for r in by_unit.where((F.col("kind") == k) & (F.col("n") >= 2)).orderBy(F.desc("n"), "unit").limit(most).collect()} for k, most in (("w", max_words), ("g", max_grams))}
     langs = sorted({lang for t in tables.values() for c in t.values() for lang in c})

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept_by_worker, written
+from .shared import kept_by_worker, lean_batches, written
 
 WINDOW = 2048
 END_ID = 1
@@ -272,6 +272,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
+    lean_batches(docs.sparkSession)
     tokens = tokenized(docs, path, window)
     by_part = written(tokens.where("rest > 0").groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     counts = {r["rest"]: r["n"] for r in by_part.groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows

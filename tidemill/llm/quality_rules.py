@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, lean_batches, written
 
 #: A line is removed if more of a host's documents hold it than this share of them, and than LEAST_LIMIT.
 LIMIT_SHARE = 0.02
@@ -125,6 +125,7 @@ def quality(docs: DataFrame, limit_share: float = LIMIT_SHARE, least_limit: int
     A null text counts as empty and fails the base rules; a null source is a host of its own; equal rows count as
     different documents; an empty table gives no rows; only ``doc_id``, ``text`` and ``source`` are read.
     """
+    lean_batches(docs.sparkSession)
     scanned = written(docs.select(F.col("doc_id").cast("long"), "text", F.col("source").alias("host")).mapInArrow(_scan, f"uid long, doc_id long, host string, {METRICS}, line_hashes array<long>, line_chars array<int>"), "quality-scan")
     doomed = written(frequent_lines(scanned, limit_share, least_limit), "quality-lines")
     lines = scanned.select("uid", F.explode(F.arrays_zip("line_hashes", "line_chars")).alias("l")).select("uid", F.col("l.line_hashes").alias("hash"), F.col("l.line_chars").alias("chars"))

@@ -21,6 +21,7 @@ def kept_by_worker(key, make):
     """What a worker has made for this key, kept for its next tasks; one thing at a time, so that caches do not add up."""
     if key not in _kept:
         _kept.clear()
+        gc.collect()
         _kept[key] = make()
     return _kept[key]
 
@@ -37,6 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Batches of 1,024 rows between Spark and Python: texts are long, and a batch is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import WORD, at_least, written
+from .shared import WORD, at_least, kept_by_worker, lean_batches, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -62,6 +62,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept_by_worker("simhash", bool)  # another operator's cache goes
     for batch in batches:
         f = np.fromiter(map(fingerprint, batch.column(1).to_pylist()), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
@@ -147,6 +148,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     its own fingerprint; a null id takes part in links but names no component while there is another id; an empty table
     gives no rows; columns that are not named are not read.
     """
+    lean_batches(docs.sparkSession)
     prints = written(fingerprints(docs, doc_id, text, keep).withColumn("uid", F.monotonically_increasing_id()), "simhash-prints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     nodes = written(prints.groupBy("fp").agg(F.min(first).alias("least")), "simhash-nodes")

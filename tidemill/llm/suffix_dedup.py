@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_least, drop_written, estimated_bytes, release_shuffles, written
+from .shared import at_least, drop_written, estimated_bytes, kept_by_worker, lean_batches, release_shuffles, written
 from .suffix_arrays import common_prefixes, suffix_array
 
 LEAST = 50
@@ -160,6 +160,7 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept_by_worker("suffixes", bool)  # another operator's cache goes
     part = TaskContext.get().partitionId() << 24
     options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))
 
@@ -395,6 +396,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
     a null id is larger than all others. Texts shorter than LEAST bytes are kept whole. An empty table gives no rows;
     ``keep`` names are free, other columns are not read. What is kept can end within a character: it is bytes.
     """
+    lean_batches(docs.sparkSession)
     chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(doc_id).cast("long").alias("id_"), F.col(text).alias("text_"))
     packed = written(chosen.mapInArrow(_pack, "part long, docs binary"), "suffix-parts")
     buckets = at_least(64, estimated_bytes(packed), BUCKET_BYTES)

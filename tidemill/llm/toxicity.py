@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept_by_worker, written
+from .shared import kept_by_worker, lean_batches, written
 
 MAX_TRAIN_ROWS = 12_000
 LANDMARKS = 40
@@ -198,7 +198,7 @@ class Reader:
                 near = [hits[words[i]] for i in found if i < found[0] + SENTENCE_WORDS]
                 rows.append(np.max(near, axis=0) if len(near) > 1 else near[0])
                 found = found[len(near) :]
-        return np.array(rows).reshape(-1, len(self.landmarks.words))
+        return np.array(rows) if rows else np.zeros((0, len(self.landmarks.words)))
 
 
 @dataclass
@@ -280,12 +280,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Machine:
     """From ``doc_id``, ``text`` and ``doc_id``, ``toxic``. Rows with a null id, text or label teach nothing; of several labels of an id the largest holds."""
     spark = docs.sparkSession
+    lean_batches(spark)
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labels.count()
     share = 1.0 if n <= max_train_rows else max_train_rows / n
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About max_train_rows ids of 8 bytes, whatever the size of the corpus.
-    rows = written(docs.where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")
+    rows = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, bad = sum(by_label.values()), by_label.get(1, 0)
     none = Machine(Landmarks([]), np.zeros((0, 0)), np.zeros(0), -1.0, 1.0, -2.0)
@@ -313,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
 
     seen = rows.mapInArrow(strongest, "toxic int, found array<double>").collect()  # max_train_rows x SENTENCES_KEPT x LANDMARKS at most
     m = len(marks.words)
-    bags = [np.array(r["found"]).reshape(-1, m) if r["found"] else np.zeros((1, m)) for r in seen]
+    bags = [np.array(r["found"]).reshape(-1, m) if len(r["found"]) else np.zeros((1, m)) for r in seen]
     y = np.array([1.0 if r["toxic"] else -1.0 for r in seen])
     gram = marks.features(marks.words)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
