@@ -45,6 +45,21 @@ _plain = re.compile("[\\t\\n\\r\\x20-\\x7e¡¿À-ÖØ-įı-ɏ]*").fullmatch
 _split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-zß-öø-ɏ0-9]+").findall
 
 
+class Known(dict):
+    """Ids by word; those of words met for the first time are filled in by the tokenizer, in place, before they are read."""
+
+    def __init__(self, older: dict[str, bytes]):
+        self.older = older
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.new[word] = bytearray()
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases, splits by a pattern and marks each word's last token.
 
@@ -64,27 +79,23 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.last = np.zeros(1 << 16, bool)
         self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known({})
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
-    def learn(self, words: set[str]) -> None:
-        new = []
-        for w in words:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-            else:
-                new.append(w)
+    def learn(self) -> None:
+        """Encodes the words met for the first time."""
+        new, self.known.new = self.known.new, {}
         if new:
             ids = self._encode(" ".join(new))
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(new):
                 raise ValueError("the tokenizer does not mark the ends of words")
             raw, at = ids.tobytes(), 0
-            for w, end in zip(new, (ends * 2).tolist(), strict=True):
-                self.known[w] = raw[at:end]
+            for (word, awaited), end in zip(new.items(), (ends * 2).tolist(), strict=True):
+                self.known[word] = raw[at:end]
+                awaited += raw[at:end]
                 at = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -92,11 +103,12 @@ class WordTokenizer:
         out: list[bytes] = []
         for i in range(0, len(texts), 64):
             part = texts[i : i + 64]
-            split = [None if not _plain(t) or any(s in t for s in self.special) else _split(t.lower()) for t in part]
             if len(self.known) > CACHE:
-                self.known, self.older = {}, self.known
-            self.learn({w for words in split if words for w in words}.difference(self.known))
-            out += [self._encode(t).tobytes() if words is None else b"".join(map(self.known.__getitem__, words)) for t, words in zip(part, split, strict=True)]
+                self.known.older, self.known = {}, Known(self.known)
+            find = self.known.__getitem__
+            found = [None if not _plain(t) or any(s in t for s in self.special) else list(map(find, _split(t.lower()))) for t in part]
+            self.learn()
+            out += [self._encode(t).tobytes() if ids is None else b"".join(ids) for t, ids in zip(part, found, strict=True)]
         return out
 
 
