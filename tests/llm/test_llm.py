@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,16 @@ def test_packing_awkward(awkward, none):
     assert packing.pack(none).count() == 0
 
 
+def test_word_ids_are_the_tokenizers(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 300)  # words fall out and come back
+    draw = random.Random(1)
+    texts = ["".join(draw.choices("abcdefgHIJKéßÀ¿1234 '.,!\n\t  <|>", k=draw.randint(0, 200))) for _ in range(1500)]
+    texts += ["", "<|endoftext|> a", "don't we're İ ẞ ﬁ é", "日本 x", "a\u00a0b", "e\u0301", *texts[:50]]
+    ours = packing.WordTokenizer(public_tokenizers.path(packing.VOCABULARY))
+    for text, ids in zip(texts, ours(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == ours.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_crc(spark, data):
     pieces = packing.pack(spark.read.parquet(f"{data}/documents.parquet").limit(5))
     one = {(r.uid, r.start): r.ids for r in pieces.collect()}

@@ -19,8 +19,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from struct import pack as pack_shorts
 
 import numpy as np
 import pyarrow as pa
@@ -45,23 +46,22 @@ _plain = re.compile("[\\t\\n\\r\\x20-\\x7e¡¿À-ÖØ-įı-ɏ]*").fullmatch
 _split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-zß-öø-ɏ0-9]+").findall
 
 
-class Known(dict):
-    """Ids by word; those of words met for the first time are filled in by the tokenizer, in place, before they are read."""
+class WordIds(dict):
+    """Ids by word, as unsigned 16-bit numbers: those of an older generation, or else encoded."""
 
-    def __init__(self, older: dict[str, bytes]):
-        self.older = older
-        self.new: dict[str, bytearray] = {}
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]):
+        self.encode, self.older = encode, older
 
-    def __missing__(self, word: str) -> bytes | bytearray:
+    def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = self.new[word] = bytearray()
+            ids = self.encode(word)
         self[word] = ids
         return ids
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that lower-cases, splits by a pattern and marks each word's last token.
+    """Ids of whole texts by a tokenizer that lower-cases, splits by a pattern and spells words in signs for bytes.
 
     Words are encoded once and kept, those used lately longest. Texts with other characters than ``_plain`` ones, or with
     one of the tokenizer's special tokens, go to the tokenizer whole.
@@ -69,7 +69,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -77,38 +77,28 @@ class WordTokenizer:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.last = np.zeros(1 << 16, bool)
-        self.last[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self.known = Known({})
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-
-    def learn(self) -> None:
-        """Encodes the words met for the first time."""
-        new, self.known.new = self.known.new, {}
-        if new:
-            ids = self._encode(" ".join(new))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(new):
-                raise ValueError("the tokenizer does not mark the ends of words")
-            raw, at = ids.tobytes(), 0
-            for (word, awaited), end in zip(new.items(), (ends * 2).tolist(), strict=True):
-                self.known[word] = raw[at:end]
-                awaited += raw[at:end]
-                at = end
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.signs = {c: spell(chr(c))[0][0] for c in range(0x80, 0x250) if _plain(chr(c))}
+        self.pieces = self.tokenizer.model.tokenize
+        self.known = WordIds(self._encode_word, {})
+
+    def _encode_word(self, word: str) -> bytes:
+        found = self.pieces(word if word.isascii() else word.translate(self.signs))
+        return pack_shorts(f"<{len(found)}H", *[t.id for t in found])
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as unsigned 16-bit numbers."""
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):
-            part = texts[i : i + 64]
+        for t in texts:
+            if not _plain(t) or any(s in t for s in self.special):
+                out.append(self._encode(t))
+                continue
             if len(self.known) > CACHE:
-                self.known.older, self.known = {}, Known(self.known)
-            find = self.known.__getitem__
-            found = [None if not _plain(t) or any(s in t for s in self.special) else list(map(find, _split(t.lower()))) for t in part]
-            self.learn()
-            out += [self._encode(t).tobytes() if ids is None else b"".join(ids) for t, ids in zip(part, found, strict=True)]
+                self.known.older, self.known = {}, WordIds(self._encode_word, self.known)
+            out.append(b"".join(map(self.known.__getitem__, _split(t.lower()))))
         return out
 
 
