@@ -91,6 +91,8 @@ def test_crc(spark, data):
     pieces = packing.pack(spark.read.parquet(f"{data}/documents.parquet").limit(5))
     one = {(r.uid, r.start): r.ids for r in pieces.collect()}
     assert all(zlib.crc32(np.array(one[r.uid, r.start], "<u4").tobytes()) == r.ids_crc32 for r in packing.with_crc32(pieces).collect())
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert sorted(packing.pack(docs, digest=True).collect()) == sorted(packing.with_crc32(packing.pack(docs)).collect())
 
 
 def test_plan_uses_every_piece_once():

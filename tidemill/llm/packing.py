@@ -228,6 +228,7 @@ def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, uid long, doc_id long, doc_tokens long, rest int, rank long, full_before long, ids binary"), "pack-tokens")
 
 
+DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, uid long"
 PIECES = "uid long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
@@ -264,11 +265,12 @@ def _place(layout: Layout):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """One row per piece: ``uid`` (the row's), ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``.
 
     A null text counts as empty and gives the end id alone; null and repeated ids and equal rows are kept as documents
     of their own; an empty table gives no rows; other columns are not read. ``path`` is the tokenizer's file.
+    With ``digest`` the rows are those of :func:`with_crc32`, made in the same pass.
     """
     if path is None:
         import public_tokenizers
@@ -282,17 +284,19 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(by_part.select("part", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ranks_before")), "pack-ranks")
     ranked = tokens.join(offsets, ["part", "rest"], "left").withColumn("rank", F.col("rank") + F.coalesce("ranks_before", F.lit(0)))
-    return ranked.select("part", "uid", "doc_id", "doc_tokens", "rest", "rank", "full_before", "ids").mapInArrow(_place(layout), PIECES)
+    ranked = ranked.select("part", "uid", "doc_id", "doc_tokens", "rest", "rank", "full_before", "ids")
+    place = _place(layout)
+    return ranked.mapInArrow(lambda batches: _digest(place(batches)), DIGESTS) if digest else ranked.mapInArrow(place, PIECES)
 
 
-def with_crc32(pieces: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``: crc32 of the ids as little-endian unsigned 32-bit numbers; ``uid`` comes last."""
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column("ids")
+        flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
+        crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(crc, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset", "uid"))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "uid"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column("ids")
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length")), pa.array(crc, pa.int64()), *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset", "uid"))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "uid"])
 
-    return pieces.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, uid long")
+def with_crc32(pieces: DataFrame) -> DataFrame:
+    """``ids`` replaced by ``ids_crc32``: crc32 of the ids as little-endian unsigned 32-bit numbers; ``uid`` comes last."""
+    return pieces.mapInArrow(_digest, DIGESTS)

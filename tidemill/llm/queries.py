@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_crc32(packing.pack(_table(spark, sf_dir, "documents"))).drop("uid")
+    return packing.pack(_table(spark, sf_dir, "documents"), digest=True).drop("uid")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
