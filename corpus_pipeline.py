@@ -40,7 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in their sequences; ``uid`` tells the copies of a document apart."""
-    return packing.with_crc32(packing.pack(docs))
+    return packing.pack(docs, digest=True)
 
 
 STAGES = [
