@@ -262,6 +262,45 @@ def test_vectors_awkward(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def _crowd():
+    """Vectors, all distinct: a group of 900 that all link, a chain whose ends do not, 150 pairs, 600 alone."""
+    dice = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    off = lambda x, by: unit(unit(x) + by * unit(dice.standard_normal(x.shape)))
+    centre, pairs = dice.standard_normal((1, 64)), dice.standard_normal((150, 64))
+    group = off(np.repeat(centre, 900, 0), 0.05)
+    one, two = np.eye(64)[:1], np.eye(64)[1:2]
+    chain = np.concatenate([np.cos(0.25 * k) * one + np.sin(0.25 * k) * two for k in range(4)])
+    return np.concatenate([chain, group, pairs, off(pairs, 0.25), dice.standard_normal((600, 64))]).astype("<f4")
+
+
+def _links(x):
+    """(n_links, component_id) of each row, by brute force."""
+    x = x.astype(np.float64)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    near = x @ x.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(near, False)
+    root = {b: a for a, b in components.forest(np.argwhere(near).tolist())}
+    return {i: (int(n), root.get(i, i)) for i, n in enumerate(near.sum(1))}
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+def test_audit_only_measures(spark, monkeypatch):
+    """A pair that only the audit names (the ends of a chain, which do not link) is no link."""
+
+    def planted(nodes, kind, threshold):
+        ends = nodes.where(F.col("vec").isin([bytearray(x[0].tobytes()), bytearray(x[3].tobytes())])).agg(F.min("node").alias("a"), F.max("node").alias("b"))
+        return ends.select("a", "b", F.lit(0.99).alias("sim"))
+
+    x = _crowd()[:12]
+    monkeypatch.setattr(embedding_dedup, "audit", planted)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(_vectors(spark, x)).collect()}
+    assert got == _links(x)
+
+
 # -- native operators, quality
 
 

@@ -8,7 +8,7 @@ a list that is saturated with links is enlarged, and joins a sample twice as lar
 a fixed number of vectors with all others, in blocks; more orders and rounds follow until its recall is ``RECALL``.
 
 Cosines are computed in double precision from the vectors as they are. Only links enter the result, so none lies below
-the threshold; the audit's own links are kept too.
+the threshold; the audit only measures.
 
 Scale: an order is cut by range partitions and swept in blocks, so that equal codes are no hot group. A round moves a
 sample of each list with its vectors, not all pairs. The links of a group of n distinct vectors that are all near each
@@ -245,7 +245,8 @@ def neighbour_links(nodes: DataFrame, kind: str, threshold: float = THRESHOLD, l
         recall = found / wanted if wanted else 1.0
         if recall >= least_recall:
             break
-    every = lists.where(F.col("sim") >= threshold).select("a", "b", "sim").unionByName(true).unionByName(true.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    every = lists.where(F.col("sim") >= threshold).select("a", "b", "sim")
+    every = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     return written(every.groupBy("a", "b").agg(F.max("sim").alias("sim")), "descent-links"), recall
 
 
