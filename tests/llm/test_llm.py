@@ -301,6 +301,38 @@ def test_audit_only_measures(spark, monkeypatch):
     assert got == _links(x)
 
 
+def test_vectors_by_brute_force(spark):
+    """Far more vectors than the audit compares: each count and each group is exact."""
+    x = _crowd()
+    assert len(x) > 3 * embedding_dedup.AUDITED
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(_vectors(spark, x)).collect()}
+    assert got == _links(x)
+
+
+def test_descent_goes_on_below_its_recall(spark, monkeypatch):
+    """Orders that find nothing at first: what is found later is returned, not what was found in time."""
+    turns, real = [], embedding_dedup.first_graph
+
+    def late(nodes, kind, seed, *rest):
+        turns.append(seed)
+        return real(nodes, kind, seed, *rest).where(F.lit(len(turns) > 4))
+
+    x = _crowd()[:12]
+    monkeypatch.setattr(embedding_dedup, "first_graph", late)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(_vectors(spark, x)).collect()}
+    assert got == _links(x) and len(set(turns)) == len(turns)
+
+
+def test_link_counts_by_blocks(spark):
+    x = _crowd()[4:904]
+    rows = [(i, 0, bytearray(v.tobytes()), 1 + i % 3) for i, v in enumerate(x)]
+    got = {r.node: r.others for r in embedding_dedup.count_links(spark.createDataFrame(rows, "node long, root long, vec binary, copies long"), "<f4", chunk=100).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = unit @ unit.T >= embedding_dedup.THRESHOLD
+    np.fill_diagonal(near, False)
+    assert got == dict(enumerate((near @ np.array([r[3] for r in rows])).tolist()))
+
+
 # -- native operators, quality
 
 

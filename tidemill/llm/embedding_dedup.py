@@ -3,16 +3,21 @@
 Equal vectors become one node that counts its copies. A neighbour graph starts from sorted random-hyperplane codes: in
 each of ``TREES`` orders a vector meets those around it. Then rounds of neighbours-of-neighbours joins refine it: each
 node joins a sample of its neighbours, forward and reverse and new ones first, with each other, and what they find
-enters their lists. A list holds every link (cosine at the threshold or above) that was found and ``NEIGHBOURS`` more;
-a list that is saturated with links is enlarged, and joins a sample twice as large in the next round. An audit compares
-a fixed number of vectors with all others, in blocks; more orders and rounds follow until its recall is ``RECALL``.
+enters their lists. A list holds every link (cosine at the threshold or above) that was found and ``NEIGHBOURS`` more.
+
+The descent has to find the groups (connected components of the links), not every link of a group: block products within
+a group count its links exactly, so a saturated list costs nothing. An audit compares a fixed number of vectors with all
+others, in blocks. Further attempts, each with more new orders, wider windows and larger samples, follow until its recall
+is ``RECALL``, over links and over vectors, and an attempt's orders meet no link between two groups that were apart. No
+attempt is the last whatever it found.
 
 Cosines are computed in double precision from the vectors as they are. Only links enter the result, so none lies below
-the threshold; the audit only measures.
+the threshold; the audit only measures. What can be missing is a link between two groups that no attempt met.
 
 Scale: an order is cut by range partitions and swept in blocks, so that equal codes are no hot group. A round moves a
-sample of each list with its vectors, not all pairs. The links of a group of n distinct vectors that are all near each
-other are n^2 by the contract's own count; exact copies cost nothing.
+sample of each list with its vectors, not all pairs, and between attempts a list forgets links within its group. The
+products of a group of n distinct vectors are n^2, as the contract's own count is; its rows, dealt as pairs of chunks, are
+about n^1.5 / 8, and no row is made for a link. Exact copies cost nothing.
 """
 
 from __future__ import annotations
@@ -32,12 +37,14 @@ NEIGHBOURS = 8
 TREES = 5
 BLOCK = 64
 SAMPLE = 12
-#: Where lists are saturated, the sample grows to this.
-LARGEST_SAMPLE = 64
+#: A window's distance matrix is held at once, so windows grow to this; orders are added without end.
+WIDEST = 1024
 AUDITED = 512
 RECALL = 0.98
 MOST_ROUNDS = 6
 BITS = 60
+#: A group of at most this many vectors is one block.
+CHUNK = 512
 
 PAIRS = "a long, b long, sim double"
 
@@ -60,17 +67,18 @@ def _unit(rows: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _near(x: np.ndarray, ids: np.ndarray, few: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the rows of x: each row's links, and its nearest ``few`` others."""
+def _near(x: np.ndarray, ids: np.ndarray, root: np.ndarray, few: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of x: each row's links with rows of another ``root``, and its nearest ``few`` others of those."""
     sim = np.minimum(x @ x.T, 1.0)
-    np.fill_diagonal(sim, -2.0)
+    settled = root[:, None] == root[None, :]
+    sim[settled] = -2.0
     take = sim >= threshold
     if len(x) > few:
         best = np.argpartition(-sim, few, axis=1)[:, :few]
         take[np.arange(len(x))[:, None], best] = True
     else:
-        take |= sim > -2.0
-    np.fill_diagonal(take, False)
+        take |= few > 0
+    take[settled] = False
     i, j = np.nonzero(take)
     return ids[i], ids[j], sim[i, j]
 
@@ -100,7 +108,7 @@ def _codes(kind: str, seed: int, trees: int):
                 at = pa.array(np.array(rows))
                 for t in range(trees):
                     code = ((x @ planes[size][t]) > 0) @ weight
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), size, np.int32)), pa.array(code), batch.column(0).take(at), batch.column(1).take(at)], ["tree", "bytes", "code", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(np.full(len(rows), size, np.int32)), pa.array(code), batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at)], ["tree", "bytes", "code", "node", "vec", "root"])
 
     return run
 
@@ -136,12 +144,14 @@ def _cut(t: pa.Table, keys: list[str], most: int, overlap: int, last: bool) -> t
     return out, t.slice(keep)
 
 
-def first_graph(nodes: DataFrame, kind: str, seed: int, trees: int, threshold: float) -> DataFrame:
+def first_graph(nodes: DataFrame, kind: str, seed: int, trees: int, threshold: float, block: int = BLOCK, few: int = NEIGHBOURS) -> DataFrame:
+    """Pairs of ``nodes`` (``node``, ``vec``, ``root``) that stand close to each other in an order."""
+
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, sim, n = [], [], [], 0
-        for t in _groups(batches, ["tree", "bytes"], BLOCK, BLOCK // 2):
+        for t in _groups(batches, ["tree", "bytes"], block, block // 2):
             if t.num_rows > 1:
-                i, j, s = _near(_unit(t.column("vec").to_pylist(), kind), t.column("node").to_numpy(), NEIGHBOURS, threshold)
+                i, j, s = _near(_unit(t.column("vec").to_pylist(), kind), t.column("node").to_numpy(), t.column("root").to_numpy(), few, threshold)
                 a.append(i), b.append(j), sim.append(s)
                 n += len(i)
             if n > 200_000:
@@ -150,7 +160,7 @@ def first_graph(nodes: DataFrame, kind: str, seed: int, trees: int, threshold: f
         if n:
             yield _rows(a, b, sim)
 
-    coded = nodes.mapInArrow(_codes(kind, seed, trees), "tree int, bytes int, code long, node long, vec binary")
+    coded = nodes.select("node", "vec", "root").mapInArrow(_codes(kind, seed, trees), "tree int, bytes int, code long, node long, vec binary, root long")
     parts = at_least(12, estimated_bytes(nodes) * trees, 4 << 20)
     return coded.repartitionByRange(parts, "tree", "bytes", "code", "node").sortWithinPartitions("tree", "bytes", "code", "node").mapInArrow(sweep, PAIRS)
 
@@ -163,31 +173,29 @@ def refine(lists: DataFrame, found: DataFrame, threshold: float, neighbours: int
     return ranked.where((F.col("sim") >= threshold) | (F.col("rank") <= neighbours)).drop("rank")
 
 
-def descend(lists: DataFrame, nodes: DataFrame, kind: str, turn: int, threshold: float) -> DataFrame:
+def descend(lists: DataFrame, nodes: DataFrame, kind: str, turn: int, threshold: float, sample: int = SAMPLE) -> DataFrame:
     """One neighbours-of-neighbours join: pairs that a node's sampled neighbours form with each other."""
     link = (F.col("sim") >= threshold).cast("int")
     sides = lists.select("a", "b", "fresh", link.alias("link")).unionByName(lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh", link.alias("link")))
-    larger = min(LARGEST_SAMPLE, SAMPLE << (turn + 1))
     dice = F.xxhash64("a", "b", F.lit(turn))
-    most = F.when(F.col("link") == 1, larger).otherwise(SAMPLE)
     # A node that very many lists hold is sampled in two steps, so that its reverse list is never sorted in one task.
     step = Window.partitionBy("a", "salt", "link").orderBy(F.desc("fresh"), dice)
     last = Window.partitionBy("a", "link").orderBy(F.desc("fresh"), dice)
-    sampled = sides.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16))).withColumn("r", F.row_number().over(step)).where(F.col("r") <= most).withColumn("r", F.row_number().over(last)).where(F.col("r") <= most)
+    sampled = sides.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(16))).withColumn("r", F.row_number().over(step)).where(F.col("r") <= sample).withColumn("r", F.row_number().over(last)).where(F.col("r") <= sample)
     sampled = written(sampled.groupBy("a", "b").agg(F.max("fresh").alias("fresh")), "descent-sample")
     active = sampled.groupBy("a").agg(F.max("fresh").alias("any")).where("any = 1").select("a")
-    with_vectors = sampled.join(active, "a").join(nodes.select(F.col("node").alias("b"), "vec"), "b")
+    with_vectors = sampled.join(active, "a").join(nodes.select(F.col("node").alias("b"), "vec", "root"), "b")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, sim, n = [], [], [], 0
-        for t in _groups(batches, ["a"], 4 * LARGEST_SAMPLE, 0):
+        for t in _groups(batches, ["a"], 2 * sample, 0):
             sizes: dict[int, list[int]] = {}
-            vecs, ids, fresh = t.column("vec").to_pylist(), t.column("b").to_numpy(), t.column("fresh").to_numpy() > 0
+            vecs, ids, root, fresh = t.column("vec").to_pylist(), t.column("b").to_numpy(), t.column("root").to_numpy(), t.column("fresh").to_numpy() > 0
             for i, v in enumerate(vecs):
                 sizes.setdefault(len(v), []).append(i)
             for rows in sizes.values():
                 if len(rows) > 1:
-                    i, j, s = _near(_unit([vecs[k] for k in rows], kind), np.array(rows), 3, threshold)
+                    i, j, s = _near(_unit([vecs[k] for k in rows], kind), np.array(rows), root[rows], 3, threshold)
                     new = fresh[i] | fresh[j]
                     a.append(ids[i[new]]), b.append(ids[j[new]]), sim.append(s[new])
                     n += int(new.sum())
@@ -197,7 +205,7 @@ def descend(lists: DataFrame, nodes: DataFrame, kind: str, turn: int, threshold:
         if n:
             yield _rows(a, b, sim)
 
-    parts = at_least(12, estimated_bytes(nodes) * SAMPLE, 4 << 20)
+    parts = at_least(12, estimated_bytes(nodes) * sample, 4 << 20)
     return with_vectors.repartition(parts, "a").sortWithinPartitions("a").mapInArrow(meet, PAIRS)
 
 
@@ -225,29 +233,98 @@ def audit(nodes: DataFrame, kind: str, threshold: float, audited: int = AUDITED)
     return nodes.select("node", "vec").mapInArrow(run, PAIRS)
 
 
-def neighbour_links(nodes: DataFrame, kind: str, threshold: float = THRESHOLD, least_recall: float = RECALL, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
-    """Links of ``nodes`` (``node``, ``vec``) in both directions as ``a``, ``b``, ``sim``, and the audit's recall."""
+def find_groups(nodes: DataFrame, kind: str, threshold: float = THRESHOLD, least_recall: float = RECALL, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+    """``node``, ``root`` of the ``nodes`` (``node``, ``vec``) that link with another, and the audit's recall.
+
+    The recall is the lower of two shares: of the audited links those whose ends are in one group, and of the audited
+    vectors that link those with all their links in their group.
+    """
     true = written(audit(nodes, kind, threshold), "descent-audit")
-    wanted = true.count()
-    lists, recall = None, 0.0
-    for attempt in range(3):
-        grown = written(refine(lists, first_graph(nodes, kind, 1 + attempt, TREES, threshold), threshold), "descent-lists")
-        lists = _next(lists, grown)
-        links = lists.where(F.col("sim") >= threshold).count()
-        for turn in range(most_rounds):
-            old = lists.withColumn("fresh", F.lit(0))
-            grown = written(refine(old, descend(lists, nodes, kind, turn, threshold), threshold), "descent-lists")
-            lists, before = _next(lists, grown), links
-            links = lists.where(F.col("sim") >= threshold).count()
-            if turn and links - before <= 0.002 * links:
-                break
-        found = true.join(lists, ["a", "b"], "left_semi").count()
-        recall = found / wanted if wanted else 1.0
-        if recall >= least_recall:
+    now = nodes.withColumn("root", F.col("node"))
+    lists, roots, recall, attempt = None, None, 0.0, 0
+    while True:
+        more = attempt + 1
+        # What later orders meet counts only if it joins two groups; a vector's nearest others are in its list by then.
+        first = first_graph(now, kind, 1 + attempt, TREES * more, threshold, min(WIDEST, BLOCK << min(attempt, 8)), 0 if attempt else NEIGHBOURS)
+        first = written(first, "descent-orders")
+        met = not first.isEmpty()
+        if roots is not None and not met and recall >= least_recall:
             break
-    every = lists.where(F.col("sim") >= threshold).select("a", "b", "sim")
-    every = every.unionByName(every.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    return written(every.groupBy("a", "b").agg(F.max("sim").alias("sim")), "descent-links"), recall
+        if roots is None or met:
+            lists = _next(lists, written(refine(lists, first, threshold), "descent-lists"))
+            links = lists.where(F.col("sim") >= threshold).count()
+            for turn in range(most_rounds):
+                old = lists.withColumn("fresh", F.lit(0))
+                grown = written(refine(old, descend(lists, now, kind, turn + attempt * most_rounds, threshold, SAMPLE * more), threshold), "descent-lists")
+                lists, before = _next(lists, grown), links
+                links = lists.where(F.col("sim") >= threshold).count()
+                if turn and links - before <= 0.002 * links:
+                    break
+            edges = lists.where(F.col("sim") >= threshold).select("a", "b")
+            if roots is not None:
+                edges = edges.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = _next(roots, written(components(edges), "descent-roots"))
+            recall = _recall(true, roots)
+            lists = _next(lists, written(_forget(lists, threshold), "descent-lists"))
+            now = written(nodes.join(roots, "node", "left").select("node", "vec", F.coalesce("root", "node").alias("root")), "descent-nodes")
+        drop_written(first)
+        attempt += 1
+    return roots, recall
+
+
+def _recall(true: DataFrame, roots: DataFrame) -> float:
+    ends = true.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    each = ends.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)).cast("long")).alias("found"))
+    r = each.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("n"), F.sum("found").alias("found"), F.sum((F.col("n") == F.col("found")).cast("long")).alias("whole")).first()
+    return min(r.found / r.n, r.whole / r.nodes) if r.nodes else 1.0
+
+
+def _forget(lists: DataFrame, threshold: float) -> DataFrame:
+    """The lists with the nearest ``NEIGHBOURS`` links only; the roots keep what the others joined."""
+    rank = F.row_number().over(Window.partitionBy("a", F.col("sim") >= threshold).orderBy(F.desc("sim"), "b"))
+    return lists.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).select("a", "b", "sim", F.lit(0).alias("fresh"))
+
+
+def count_links(grouped: DataFrame, kind: str, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
+    """``node``, ``others``: how many copies of the other vectors of its group link with each of ``grouped`` (``node``, ``root``, ``vec``, ``copies``).
+
+    Exact: every pair of a group is compared. A group above ``chunk`` is dealt into chunks, and each pair of chunks is a
+    block of its own.
+    """
+    sizes = written(grouped.groupBy("root").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.when(F.col("n") <= chunk, 1).otherwise(F.ceil(F.sqrt(F.col("n") * 8.0 / chunk)))), "group-sizes")
+    rows = sizes.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    large = sizes.where("chunks > 1").select("root", "chunks")
+    dealt = grouped.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    blocks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    blocks = blocks.select("root", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "vec", "copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sums, held = [], [], 0
+        for t in _groups(batches, ["root", "lo", "hi"], 1 << 62, 0):
+            x, copies = _unit(t.column("vec").to_pylist(), kind), t.column("copies").to_numpy().astype(np.float64)
+            low, high = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+            left = np.flatnonzero(t.column("chunk").to_numpy() == low)
+            right = left if low == high else np.flatnonzero(t.column("chunk").to_numpy() == high)
+            y, total = x[right], np.zeros(len(x))
+            for i in range(0, len(left), 256):
+                at = left[i : i + 256]
+                near = (x[at] @ y.T >= threshold).astype(np.float64)
+                if low == high:
+                    near[np.arange(len(at)), np.arange(i, i + len(at))] = 0
+                else:
+                    total[right] += copies[at] @ near
+                total[at] += near @ copies[right]
+            nodes.append(t.column("node").to_numpy()), sums.append(total.astype(np.int64))
+            held += len(x)
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sums))], ["node", "others"])
+                nodes, sums, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sums))], ["node", "others"])
+
+    keys = ["root", "lo", "hi"]
+    counted = blocks.repartition(at_least(12, rows, 20_000), *keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, others long")
+    return counted.groupBy("node").agg(F.sum("others").alias("others"))
 
 
 def _next(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -268,11 +345,10 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     rows = written(rows.withColumn("key", F.md5("vec")), "vectors")
     classes = rows.where("vec is not null").groupBy("key").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
-    links, _ = neighbour_links(classes.select("node", "vec"), kind, threshold)
-    counted = links.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    roots = components(links.where("a < b"))
+    roots, _ = find_groups(classes.select("node", "vec"), kind, threshold)
+    counted = count_links(classes.select("node", "vec", "copies").join(roots, "node"), kind, threshold)
     known = classes.select("node", "key", "copies", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = written(known.join(counted, known["node"] == counted["a"], "left").select("key", "root", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "vector-roots")
+    known = written(known.join(counted, "node", "left").select("key", "root", "least", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "vector-roots")
     least = written(known.groupBy("root").agg(F.min("least").alias("component_id")), "vector-least")
     known = written(known.join(least, "root").select("key", "n_links", "component_id"), "vector-known")
     out = rows.select("vec_id", "key").join(known, "key", "left")
