@@ -387,3 +387,55 @@ def test_pipeline(spark, data):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= {r.doc_id for r in docs.select("doc_id").collect()}
     sums = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
     assert sums <= packing.WINDOW
+
+
+def _near_copies(rows):
+    """Of each SimHash group of (doc_id, text) the smallest id, by the definition."""
+    import xxhash
+
+    fp = []
+    for _, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        fp.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    edges = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 3]
+    root = {b: a for a, b in components.forest(edges)}
+    return [(d, t) for d, t in rows if root.get(d, d) == d]
+
+
+def test_pipeline_by_brute_force(spark, data):
+    """run()'s pieces are those of the documents that each stage's definition leaves; only the toxicity decision is reused."""
+    import corpus_pipeline
+    import duckdb
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    every = spark.read.parquet(f"{data}/documents.parquet")
+    clean = corpus_pipeline.toxicity_stage(spark, every, data).select("doc_id", "text", "source").orderBy("doc_id").collect()
+    source = {r.doc_id: r.source for r in clean}
+    unlike = _near_copies([(r.doc_id, r.text) for r in clean])
+    spans, left = {d: s for d, _, s, _ in _repeats(unlike)}, []
+    for d, t in unlike:
+        b = bytearray((t or "").encode())
+        for start, length in reversed(spans[d]):
+            del b[start : start + length]
+        left.append((d, b.decode("utf-8", "ignore")))
+    assert len(unlike) < len(clean) and any(spans.values())
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [d for d, _ in left], "text": [t for _, t in left], "source": [source[d] for d, _ in left]}))
+    cur = con.execute(mixing.ORACLE)
+    names = [c[0] for c in cur.description]
+    mixed = [dict(zip(names, r, strict=True)) for r in cur.fetchall()]
+    want = {r["doc_id"]: r["taken"] // r["size"] for r in mixed if r["taken"]}
+
+    tokenizer, text = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY)), dict(left)
+    ids = {d: np.array([*tokenizer.encode(text[d], add_special_tokens=False).ids, packing.END_ID], "<u4") for d in want}
+    copies = {}
+    for r in corpus_pipeline.run(spark, data).collect():
+        copies.setdefault((r.doc_id, r.uid), []).append(r)
+    assert dict(Counter(d for d, _ in copies)) == want
+    for (d, _), pieces in copies.items():
+        pieces.sort(key=lambda r: r.start)
+        ends = list(np.cumsum([p.length for p in pieces]))
+        assert [p.start for p in pieces] == [0, *ends[:-1]] and ends[-1] == len(ids[d]) == pieces[0].doc_tokens
+        assert all(p.ids_crc32 == zlib.crc32(ids[d][p.start : p.start + p.length].tobytes()) for p in pieces)
