@@ -207,6 +207,28 @@ def test_suffix_dedup_awkward(awkward, none, monkeypatch):
     assert suffix_dedup._answer_keys.__globals__["HOT"] == 0
 
 
+def test_suffix_dedup_of_hot_keys(spark, data, docs, awkward, monkeypatch):
+    """The same spans where every shared key is hot and its windows are dealt out one by one."""
+    hot = spark.sparkContext.accumulator(0)
+
+    def all_hot(t):
+        # Set where the key is answered, in the worker, and put back for the tests that come after.
+        from tidemill.llm import suffix_dedup as there
+
+        before, there.HOT = there.HOT, 0
+        try:
+            out = there._answer_keys(t)
+        finally:
+            there.HOT = before
+        hot.add(sum(np.count_nonzero(np.frombuffer(there._unpacked(a), np.uint8) == 2) for a in out.column("answer").to_pylist()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_answer_keys", all_hot)
+    assert _found(awkward) == _repeats([(r[0], r[1]) for r in ROWS])
+    assert _found(spark.read.parquet(f"{data}/documents.parquet")) == _repeats(docs)
+    assert hot.value > 0
+
+
 # -- near duplicates
 
 
