@@ -48,16 +48,19 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node``, ``root`` (the smallest node of its component) for every node of ``edges`` (``a``, ``b``: long).
 
-    Loops and repeated edges are harmless; edges with a null end are ignored; no edges give no rows.
+    Loops and repeated edges are harmless; edges with a null end are ignored; no edges give no rows. A graph that has not
+    settled after ``most_rounds`` rounds, which takes a path of about 2^most_rounds nodes, raises RuntimeError.
     """
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     now = written(pairs.mapInArrow(_contract, EDGES).distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
-        if mark == seen or not mark[0]:
+    for turn in range(most_rounds + 1):
+        # Settled: every node points to one that points nowhere, and to no other.
+        many = now.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
+        if many.isEmpty() and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        seen, before = mark, now
+        if turn == most_rounds:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds")
+        before = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "star-min")
         large = written(both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct(), "star")

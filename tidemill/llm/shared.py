@@ -1,7 +1,12 @@
-"""Helpers that every operator of the subpackage uses: the shared folder, written tables, sizes."""
+"""Helpers that every operator of the subpackage uses: the shared folder, written tables, sizes.
+
+An operator returns a plan that still reads what it has written on the way, so it cannot delete that itself. Who has
+consumed the result can: whatever is written inside a :func:`scratch` block is deleted at its end.
+"""
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
@@ -30,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="tidemill-")
@@ -48,10 +55,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end, also after an error, the tables that this thread's :func:`written` calls made in it, but those of inner blocks that are gone."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and a lost executor loses nothing that was written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,9 +99,20 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(1.0)
 
 
+def splits(df: DataFrame) -> int:
+    """The partitions of a plan; where shuffles decide, those that are configured, as asking would run them."""
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, df.rdd.getNumPartitions())
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for a scan, the size of its files. Only the number of buckets depends on it, never a result."""
-    return max(1, int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate: for a scan the size of its files; for rows and joins, of which it says too much, what their partitions hold at most.
+
+    Only numbers of buckets depend on it, never a result.
+    """
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, estimate if estimate < 1 << 28 else min(estimate, splits(df) << 28))
 
 
 def at_least(least: int, size: float, each: float) -> int:
@@ -85,5 +120,14 @@ def at_least(least: int, size: float, each: float) -> int:
     return max(least, int(-(-size // each)))
 
 
+def spread(df: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """``df`` over as many tasks as there are cores, ``most`` at most, where its splits are fewer: a file of one row group is one task.
+
+    Rows are dealt out in turn, whatever they hold. An input with a split for each core is left as it is.
+    """
+    want = min(most, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(want) if splits(df) < want else df
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
