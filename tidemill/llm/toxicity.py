@@ -2,15 +2,17 @@
 
 The gap-weighted kernel counts the subsequences of ``ORDER`` characters that two strings share, each weighted by
 ``DECAY`` for every character that it spans in either. Characters inserted into an insult and endings put behind it cost
-a part of the value, no more. A string's features are its kernel values with the landmarks, each over the landmark's own,
-whitened by the landmarks' kernel matrix (Nystroem); a sentence's are the largest of its words'; and the document is as
-toxic as its worst sentence.
-
-Landmarks are words that stand in toxic training documents far more often than chance allows, chosen so that they
-differ. Training is on the strongest sentences of labelled documents, chosen again by the machine in each round, since
-labels are for documents. Training takes at most ``max_train_rows`` labelled rows, by a hash of their id; every
-document's whole text is scored in one pass, without a shuffle. A worker keeps the features of the words it has seen,
-nearly all of which are zero and are ruled out by character pairs before the kernel runs.
+a part of the value, no more. A word is a string with a mark before it, so that a beginning counts as one. Its features are
+its kernel values with the landmarks, each over the landmark's own and to the power ``POWER`` (a product of string kernels
+is one), whitened by the landmarks' kernel matrix (Nystroem). Neighbouring sentences are read in windows of
+2 * ``HALF`` words, whose features are the sums of their words'; the document is as toxic as its worst window.
+
+Landmarks are from both classes: words and beginnings of words that stand in toxic training documents far more often
+than chance allows, chosen so that they differ, and the words of clean documents that are most like them. Training is on
+the strongest window of each labelled document, chosen again by the machine in each round, since labels are for documents.
+Training takes at most ``max_train_rows`` labelled rows, by a hash of their id; every document's whole text is scored in
+one pass, without a shuffle. A worker keeps the features of the words it has seen, nearly all of which are ruled out by
+character pairs before the kernel runs.
 """
 
 from __future__ import annotations
@@ -26,23 +28,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept_by_worker, lean_batches, written
+from .shared import kept_by_worker, lean_batches, spread, written
 
 MAX_TRAIN_ROWS = 12_000
+#: Landmarks from toxic and from clean documents: the rank of the Nystroem map, not a limit on the words compared.
 LANDMARKS = 40
+CONTRASTS = 32
 ORDER = 3
 DECAY = 0.6
+POWER = 4
+#: A window's sum for one landmark counts no more than this.
+MOST = 8.0
+#: Log-likelihood gain from which a word marks toxic documents.
+LEAST_GAIN = 9.0
 #: Characters of a word that the kernel sees at once; longer words are seen in overlapping parts.
 SPAN = 24
 LONGEST_LANDMARK = 12
+SHORTEST_LANDMARK = 4
+#: Beginnings of up to so many letters are candidates, besides whole words.
+LONGEST_BEGINNING = 7
 #: Share of a landmark's neighbouring characters that a word must have in order, up to two characters apart.
 SHARED_PAIRS = 0.6
-#: Smaller features count as none.
-FLOOR = 0.3
-SENTENCES_KEPT = 5
+#: Smaller features count as none: four characters of ten, or so.
+FLOOR = 0.01
+#: Landmarks have a smaller feature than this in each other.
+APART = 0.4
 CACHE = 200_000
-#: A sentence without an end is taken in parts of so many words.
-SENTENCE_WORDS = 60
+#: Half the words of a window; windows overlap by half.
+HALF = 100
+START = "^"
 
 _letters = re.compile(r"[^\W\d_]+").findall
 #: Letters set apart by blanks or signs.
@@ -93,11 +107,11 @@ class Landmarks:
     words: list[str]
 
     def __post_init__(self):
-        letters = sorted({c for w in self.words for c in w})
+        letters = sorted({c for w in self.words for c in START + w})
         self.table = np.zeros(max(map(ord, letters), default=0) + 2, np.uint8)
         for i, c in enumerate(letters):
             self.table[ord(c)] = i + 1
-        self.codes = self.encode(self.words, LONGEST_LANDMARK)
+        self.codes = self.encode([START + w for w in self.words], LONGEST_LANDMARK)
         self.own = kernel(self.codes, self.codes) if self.words else np.zeros(0)
         n = len(letters) + 1
         pairs = sorted({(int(a), int(b)) for row in self.codes for a, b in zip(row[:-1], row[1:], strict=True) if a and b})
@@ -126,9 +140,10 @@ class Landmarks:
         return out
 
     def features(self, words: list[str]) -> np.ndarray:
-        """Of each word with each landmark: kernel over the landmark's own value, 1 at most, 0 if below FLOOR."""
+        """Of each word with each landmark: kernel over the landmark's own value, 1 at most, to the power POWER; 0 if below FLOOR."""
         parts, owner = [], []
         for i, w in enumerate(words):
+            w = START + w
             for k in range(0, max(1, len(w) - SPAN // 2), SPAN // 2):
                 parts.append(w[k : k + SPAN])
                 owner.append(i)
@@ -147,7 +162,7 @@ class Landmarks:
             w, j = np.nonzero(have @ self.needs >= self.least)
             for k in range(0, len(w), 8192):
                 a, b = w[k : k + 8192], j[k : k + 8192]
-                value = np.minimum(1.0, kernel(s[a], self.codes[b]) / self.own[b])
+                value = np.minimum(1.0, kernel(s[a], self.codes[b]) / self.own[b]) ** POWER
                 np.maximum.at(out, (owner[i + a], b), np.where(value < FLOOR, 0.0, value))
         return out
 
@@ -182,23 +197,26 @@ class Reader:
             rows = [r for c in found if (r := self.known[c]) is not None]
             self.known[t] = None if not rows else rows[0] if len(rows) == 1 else np.max(rows, axis=0)
 
-    def sentences(self, text: str) -> np.ndarray:
-        """Features of the document's sentences that have any, a row for each."""
+    def windows(self, text: str) -> np.ndarray:
+        """Features of the document's windows that have any, a row for each. Words whose letters stand apart count in every window."""
         text = text.lower()
-        tokens = set(text.split())
+        words = text.split()
+        tokens = set(words)
         joined = apart(text, tokens)
         self.learn(tokens | set(joined))
         known = self.known
         hits = {t: f for t in tokens if (f := known[t]) is not None}
-        rows = [f for j in joined if (f := known[j]) is not None]
-        for s in _sentences(text) if hits else ():
-            words = s.split()
-            found = [i for i, t in enumerate(words) if t in hits]
-            while found:
-                near = [hits[words[i]] for i in found if i < found[0] + SENTENCE_WORDS]
-                rows.append(np.max(near, axis=0) if len(near) > 1 else near[0])
-                found = found[len(near) :]
-        return np.array(rows) if rows else np.zeros((0, len(self.landmarks.words)))
+        spaced = [f for j in joined if (f := known[j]) is not None]
+        if not hits and not spaced:
+            return np.zeros((0, len(self.landmarks.words)))
+        sums: dict[int, np.ndarray] = {}
+        for i, t in enumerate(words) if hits else ():
+            if t in hits:
+                half = i // HALF
+                sums[half] = sums[half] + hits[t] if half in sums else hits[t]
+        none = np.zeros(len(self.landmarks.words))
+        rows = [sums.get(k, none) + sums.get(k + 1, none) for k in sorted({j for k in sums for j in (k - 1, k)})] or [none]
+        return np.minimum(MOST, np.array(rows) + sum(spaced, none))
 
 
 @dataclass
@@ -217,7 +235,7 @@ class Machine:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * margin + self.shift))))
 
     def score(self, reader: Reader, text: str | None) -> float:
-        rows = reader.sentences(text or "")
+        rows = reader.windows(text or "")
         return self.probability(max([self.bias, *self.margins(rows)]) if len(rows) else self.bias)
 
 
@@ -249,32 +267,41 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.1, float(w[0])), float(w[1])
 
 
-def choose_landmarks(words: list[tuple[str, int, int]], most: int = LANDMARKS) -> list[str]:
-    """Of (word, toxic documents, clean documents), best first: those least like any chosen before."""
-    # A word's characters stay in order, so a landmark is the word, or its first characters if it is longer.
-    candidates = list(dict.fromkeys(w[:LONGEST_LANDMARK] for w, _, _ in words if len(w) >= ORDER + 1))
-    if not candidates:
-        return []
-    marks = Landmarks(candidates)
-    near = marks.features(candidates)
+def _unlike(words: list[str], most: int) -> list[str]:
+    """The first words, each unlike those taken before it."""
+    marks = Landmarks(words)
+    near = marks.features(words)
     near = np.maximum(near, near.T)
-    chosen, closest = [0], near[0].copy()
-    while len(chosen) < min(most, len(candidates)):
-        nxt = int(np.argmin(closest + 1e-6 * np.arange(len(candidates))))
-        if closest[nxt] > 0.9:
+    taken: list[int] = []
+    for i in range(len(words)):
+        if len(taken) == most:
             break
-        chosen.append(nxt)
-        closest = np.maximum(closest, near[nxt])
-    return [candidates[i] for i in chosen]
+        if not taken or near[i, taken].max() < APART:
+            taken.append(i)
+    return [words[i] for i in taken]
+
+
+def choose_landmarks(toxic: list[str], clean: list[tuple[str, int]], most: int = LANDMARKS, contrasts: int = CONTRASTS) -> list[str]:
+    """Of the words that mark toxic documents, best first, those unlike each other; then those of (clean word, documents) most like any of them."""
+    chosen = _unlike(toxic, most) if toxic else []
+    if not chosen or not clean:
+        return chosen
+    like = Landmarks(chosen).features([w for w, _ in clean]).max(1) * np.log1p([n for _, n in clean])
+    nearest = [clean[i][0][: LONGEST_LANDMARK - 1] for i in np.argsort(-like, kind="stable")[: 20 * contrasts] if like[i] > 0]
+    return [*chosen, *(w for w in _unlike(list(dict.fromkeys(nearest)), contrasts) if w not in chosen)]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by class with each word (``whole``), and with each beginning that can be a landmark."""
     for batch in batches:
-        counts = (Counter(), Counter())
+        whole, part = (Counter(), Counter()), (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[1 if toxic else 0].update({c for t in set(text.lower().split()) for c in cores(t)})
-        every = list(counts[1].keys() | counts[0].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([counts[1][w] for w in every], pa.int64()), pa.array([counts[0][w] for w in every], pa.int64())], ["word", "toxic", "clean"])
+            words = {c for t in set(text.lower().split()) for c in cores(t) if len(c) >= SHORTEST_LANDMARK}
+            whole[1 if toxic else 0].update(words)
+            part[1 if toxic else 0].update({w[:k] for w in words for k in (*range(SHORTEST_LANDMARK, min(len(w), LONGEST_BEGINNING + 1)), LONGEST_LANDMARK - 1)})
+        for kind, counts in ((True, whole), (False, part)):
+            every = list(counts[1].keys() | counts[0].keys())
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(every), pa.bool_()), pa.array(every, pa.string()), pa.array([counts[1][w] for w in every], pa.int64()), pa.array([counts[0][w] for w in every], pa.int64())], ["whole", "word", "toxic", "clean"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Machine:
@@ -286,33 +313,35 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     share = 1.0 if n <= max_train_rows else max_train_rows / n
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About max_train_rows ids of 8 bytes, whatever the size of the corpus.
-    rows = written(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")
+    rows = written(spread(docs.select("doc_id", "text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-train")
     by_label = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, bad = sum(by_label.values()), by_label.get(1, 0)
     none = Machine(Landmarks([]), np.zeros((0, 0)), np.zeros(0), -1.0, 1.0, -2.0)
     if not bad or bad == total:
         return none
-    counts = rows.mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.mapInArrow(_word_counts, "whole boolean, word string, toxic long, clean long").groupBy("whole", "word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = written(counts, "toxic-words")
     base = bad / total
     share_toxic = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     # Log-likelihood gain of "its documents are toxic at their own rate" over "at the base rate".
     gain = F.col("toxic") * F.log(share_toxic / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share_toxic) / (1 - base))).otherwise(0.0)
-    words = counts.where((F.col("toxic") >= 3) & (share_toxic > 0.5)).withColumn("gain", gain).where(F.col("gain") > 9.0).orderBy(F.desc("gain"), "word").limit(400).collect()
-    marks = Landmarks(choose_landmarks([(r["word"], r["toxic"], r["clean"]) for r in words]))
+    strong = counts.where(~F.col("whole") & (F.col("toxic") > 0)).where(share_toxic > base).withColumn("gain", F.round(gain, 6)).where(F.col("gain") > LEAST_GAIN)
+    strong = strong.orderBy(F.desc("gain"), F.desc(F.length("word")), "word").limit(10 * LANDMARKS).collect()
+    plain = counts.where(F.col("whole") & (F.col("clean") > 0)).orderBy(F.desc("clean"), "word").limit(500 * CONTRASTS).collect()
+    marks = Landmarks(choose_landmarks([r["word"] for r in strong], [(r["word"], r["clean"]) for r in plain]))
     if not marks.words:
         return none
     sent = spark.sparkContext.broadcast(marks)
 
-    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(sent.value)
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                f = reader.sentences(text)
-                found.append(f[np.argsort(-f.max(1), kind="stable")[:SENTENCES_KEPT]].ravel().tolist() if len(f) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "found"])
+                found.append(np.unique(reader.windows(text), axis=0).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float32()))], ["toxic", "found"])
 
-    seen = rows.mapInArrow(strongest, "toxic int, found array<double>").collect()  # max_train_rows x SENTENCES_KEPT x LANDMARKS at most
+    seen = rows.mapInArrow(windows, "toxic int, found array<float>").collect()  # max_train_rows documents, a row of numbers for each HALF words
     m = len(marks.words)
     bags = [np.array(r["found"]).reshape(-1, m) if len(r["found"]) else np.zeros((1, m)) for r in seen]
     y = np.array([1.0 if r["toxic"] else -1.0 for r in seen])
@@ -320,7 +349,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-2))
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    pick = np.array([b[0] for b in bags])
+    pick = np.array([b[int(b.sum(1).argmax())] for b in bags])
     for _ in range(4):
         x = np.hstack([pick @ whiten, np.ones((len(pick), 1))])
         w = _newton(x, y, c)
@@ -331,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
 
 
 def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns and ``score`` (0 to 1) of each row; null and empty texts get the score of a text without insults.
+    """``keep`` columns and ``score`` (0 to 1) of each row; null and empty texts get the score of a text without any word like a landmark.
 
     Equal texts get equal scores; an empty table gives no rows; other columns are not read.
     """
@@ -350,4 +379,4 @@ def score(docs: DataFrame, machine: Machine, keep: tuple[str, ...] = ("doc_id",)
 
     left = docs.select(*keep) if at < len(keep) else docs.select(*keep, F.col(text).alias("text_"))
     schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes[: len(keep)])
-    return left.mapInArrow(run, f"{schema}, score double")
+    return spread(left).mapInArrow(run, f"{schema}, score double")
