@@ -60,7 +60,8 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    shards = F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), shards.alias("shards"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
