@@ -7,8 +7,10 @@ are active from there on; pages and boundaries are sorted by key in one sweep, e
 it, and of that stack the rules whose path the page's path starts with remain. The longest host, then the longest path
 wins.
 
-Scale: one sweep for each (top label, salt). Pages are dealt out by a salt, boundaries are repeated for each salt, so a
-top label with a third of all pages is split; nothing is broadcast or collected, no rule meets a page outside its stack.
+Scale: pages and boundaries are range-partitioned once by key, each boundary once, however many partitions there are;
+pages with one key are spread by a hash of theirs, so a host with a third of all pages spans many ranges. A range starts
+with the last stack of the ranges before it: one row a range. Nothing is broadcast by hint or collected, and no rule
+meets a page outside its stack.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import at_least
+from .shared import at_least, estimated_bytes, written
 
 #: The rules of the query: (host, path, verdict).
 RULES = [
@@ -28,8 +30,8 @@ RULES = [
 ]
 #: The verdict of a page that no rule fits.
 DEFAULT_VERDICT = "allow"
-#: Pages of one sweep, on average over salts.
-PAGES_PER_SWEEP = 20_000
+#: Bytes of pages, as estimated from what is read, for each range.
+RANGE_BYTES = 16 << 20
 _SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -79,20 +81,23 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
     Null urls and urls without ``://`` have an empty host and path, which no rule fits. Repeated pages give repeated
     rows; an empty table gives none; other columns are not read, whatever their names.
     """
-    salts = at_least(64, pages.select(*keep[:1]).count(), PAGES_PER_SWEEP)
     named = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    left = (
-        pages.select(*named, F.col(url).alias("u"))
-        .select(*[f"k{i}" for i in range(len(keep))], F.pmod(F.xxhash64(*[f"k{i}" for i in range(len(keep))], "u"), F.lit(salts)).alias("salt"), url_host(F.col("u")).alias("host"), url_path(F.col("u")).alias("path"))
-        .withColumn("key", host_key(F.col("host")))
-        .withColumn("page", F.lit(True))
-    )
-    right = rule_boundaries(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(F.col("salt").cast("long"), "key", "stack", F.lit(False).alias("page"))
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("top", F.expr("substring_index(translate(key, '/', '.'), '.', 1)"))
-    sweep = Window.partitionBy("top", "salt").orderBy("key", "page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("page")
-    best = F.expr("array_max(filter(active, s -> startswith(path, s.path)))")
-    return swept.withColumn("best", best).select(
+    keys = [f"k{i}" for i in range(len(keep))]
+    read = pages.select(*named, F.col(url).alias("u"))
+    left = read.select(*keys, url_host(F.col("u")).alias("host"), url_path(F.col("u")).alias("path"), F.xxhash64(*keys, "u").alias("dice")).withColumn("key", host_key(F.col("host"))).withColumn("page", F.lit(True))
+    right = rule_boundaries(rules).select("key", "stack", F.lit(False).alias("page"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    parts = at_least(16, estimated_bytes(read), RANGE_BYTES)
+    ranges = both.repartitionByRange(parts, "key", "page", "dice").withColumn("range", F.spark_partition_id())
+    ranges = written(ranges, "url-ranges")
+    # The last stack of each range, and of all before it.
+    ends = ranges.where(~F.col("page")).groupBy("range").agg(F.max_by("stack", "key").alias("stack"))
+    every = ranges.select("range").distinct().join(ends, "range", "left")
+    carried = every.select("range", F.last("stack", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    sweep = Window.partitionBy("range").orderBy("key", "page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ranges.withColumn("own", F.last("stack", ignorenulls=True).over(sweep)).where("page")
+    best = F.expr("array_max(filter(coalesce(own, carried), s -> startswith(path, s.path)))")
+    return swept.join(written(carried, "url-carried"), "range").withColumn("best", best).select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict")
     )
 
