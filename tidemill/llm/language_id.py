@@ -3,27 +3,30 @@
 A word that the model knows adds its log frequency in each language. An unseen word backs off: its known character
 n-grams of five, else four, three, two, one characters stand in for it, with a smaller weight at each step.
 
-The model is fitted on at most ``max_train_rows`` rows with a language (chosen by a hash of their id), and holds at
-most ``max_words`` words and ``max_grams`` n-grams, so that it is a few MB at any corpus size; every document is
-predicted, over its whole text, in one pass without a shuffle.
+The model is fitted on at most ``max_train_rows`` rows with a language (chosen by a hash of their id), and holds each
+language's ``max_words`` most frequent words and as many n-grams, so that a small language keeps its own vocabulary
+beside a large one and the model is a few MB for each language at any corpus size. N-grams are counted from the table of
+distinct words. Every document is predicted, over its whole text, in one pass without a shuffle; a worker keeps the
+model and the words that it has met.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean_batches, written
+from .shared import kept_by_worker, lean_batches, spread, written
 
 MAX_TRAIN_ROWS = 12_000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+#: Words, and n-grams, of each language.
+MAX_WORDS = 20_000
 LONGEST = 5
 #: Weight of an n-gram estimate, for each step of the backoff.
 BACKOFF = 0.7
@@ -34,7 +37,11 @@ _letters = re.compile(r"[^\W\d_]+").findall
 
 
 def units(text: str) -> list[str]:
-    return _letters(text.lower())
+    """Runs of letters in lower case. Numbers that the pattern takes for letters, such as \u00b2 and \u00bd, are none."""
+    words = _letters(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -47,14 +54,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by_lang.setdefault(lang, Counter()).update(units(text or ""))
-        for lang, words in by_lang.items():
-            pieces: Counter = Counter()
-            for w, c in words.items():
-                for n in range(1, LONGEST + 1):
-                    for g in grams(w, n):
-                        pieces[g] += c
-            for kind, counts in (("w", words), ("g", pieces)):
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array([lang] * len(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "unit", "lang", "n"])
+        yield from _rows(by_lang)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        by_lang: dict[str, Counter] = {}
+        for word, lang, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            pieces = by_lang.setdefault(lang, Counter())
+            for n in range(1, LONGEST + 1):
+                for g in grams(word, n):
+                    pieces[g] += times
+        yield from _rows(by_lang)
+
+
+def _rows(by_lang: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in by_lang.items():
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([lang] * len(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["unit", "lang", "n"])
 
 
 class Model:
@@ -103,6 +119,7 @@ class Predictor:
         return self.free - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its share of the evidence; ``und`` if there is no letter or no language to choose from."""
         words = units(text or "")
         if not words or not self.model.langs:
             return "und", 0.0
@@ -120,17 +137,27 @@ class Predictor:
         return self.model.langs[best], float(e[best] / e.sum())
 
 
-def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int = MAX_WORDS) -> Model:
     """From ``doc_id``, ``text``, ``lang``; rows without a text or language teach nothing."""
     lean_batches(rows.sparkSession)
     rows = rows.where("text is not null and lang is not null")
     n = rows.count()
     share = 1.0 if n <= max_train_rows else max_train_rows / n
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = chosen.select("text", "lang").mapInArrow(_count, "kind string, unit string, lang string, n long").groupBy("kind", "unit", "lang").agg(F.sum("n").alias("n"))
-    by_unit = counts.groupBy("kind", "unit").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    by_unit = written(by_unit, "language-counts")
-    tables = {k: {r.unit: r.by for r in by_unit.where((F.col("kind") == k) & (F.col("n") >= 2)).orderBy(F.desc("n"), "unit").limit(most).collect()} for k, most in (("w", max_words), ("g", max_grams))}
+    summed = lambda counted: counted.groupBy("unit", "lang").agg(F.sum("n").alias("n"))
+    words = written(summed(spread(chosen.select("text", "lang")).mapInArrow(_count, "unit string, lang string, n long")), "language-words")
+    pieces = written(summed(words.mapInArrow(_count_grams, "unit string, lang string, n long")), "language-grams")
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "unit")
+
+    def table(counted: DataFrame) -> dict[str, dict[str, int]]:
+        """The units that are among the first of any language, with their counts in all."""
+        first = counted.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= max_words).select("unit").distinct()
+        found: dict[str, dict[str, int]] = {}
+        for r in counted.join(first, "unit", "left_semi").orderBy("unit", "lang").toLocalIterator():  # max_words times languages
+            found.setdefault(r.unit, {})[r.lang] = r.n
+        return found
+
+    tables = {"w": table(words), "g": table(pieces)}
     langs = sorted({lang for t in tables.values() for c in t.values() for lang in c})
     return Model(langs, tables)
 
@@ -141,17 +168,18 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     Equal rows get equal results; an empty table gives none; other columns are not read. A model that learned from no
     rows says ``und``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_words + max_grams rows
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_words words and n-grams of each language
+    label = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(sent.value)
+        predictor = kept_by_worker(("language", label), lambda: Predictor(sent.value))
         for batch in batches:
             found = [predictor.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     left = docs.select(*keep, F.col(text).alias("text_"))
     schema = ", ".join(f"`{c}` {t}" for c, t in left.dtypes[:-1])
-    return left.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return spread(left).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def fold(doc_id: Column, n: int) -> Column:
