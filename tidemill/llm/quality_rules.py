@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, lean_batches, written
+from .shared import WORD, lean_batches, spread, written
 
-#: A line is removed if more of a host's documents hold it than this share of them, and than LEAST_LIMIT.
+#: A line is removed if more of a host's documents hold it than this share of them, and than LEAST_LIMIT: a line that two
+#: or three documents have in common says nothing about a host, however small.
 LIMIT_SHARE = 0.02
-LEAST_LIMIT = 20
+LEAST_LIMIT = 3
 #: A document is rejected if more than this share of its word characters goes.
 DEPLETED = 0.5
 MIN_WORDS = 10
@@ -126,7 +127,7 @@ def quality(docs: DataFrame, limit_share: float = LIMIT_SHARE, least_limit: int
     different documents; an empty table gives no rows; only ``doc_id``, ``text`` and ``source`` are read.
     """
     lean_batches(docs.sparkSession)
-    scanned = written(docs.select(F.col("doc_id").cast("long"), "text", F.col("source").alias("host")).mapInArrow(_scan, f"uid long, doc_id long, host string, {METRICS}, line_hashes array<long>, line_chars array<int>"), "quality-scan")
+    scanned = written(spread(docs.select(F.col("doc_id").cast("long"), "text", F.col("source").alias("host"))).mapInArrow(_scan, f"uid long, doc_id long, host string, {METRICS}, line_hashes array<long>, line_chars array<int>"), "quality-scan")
     doomed = written(frequent_lines(scanned, limit_share, least_limit), "quality-lines")
     lines = scanned.select("uid", F.explode(F.arrays_zip("line_hashes", "line_chars")).alias("l")).select("uid", F.col("l.line_hashes").alias("hash"), F.col("l.line_chars").alias("chars"))
     lost = lines.join(doomed, "hash").groupBy("uid").agg(F.sum("chars").alias("removed_chars"))
@@ -164,7 +165,7 @@ l AS (SELECT doc_id, source, line, regexp_replace(lower(trim(line, E' \t\n\x0b\x
       FROM (SELECT doc_id, source, unnest(string_split(text, E'\n')) AS line FROM d)),
 n AS (SELECT * FROM l WHERE chars > 0),
 u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
-m AS (SELECT source, greatest(20, ceil(count(*) * 0.02)) AS most FROM d GROUP BY source),
+m AS (SELECT source, greatest(3, ceil(count(*) * 0.02)) AS most FROM d GROUP BY source),
 f AS (SELECT n.source, norm FROM n JOIN m ON n.source IS NOT DISTINCT FROM m.source GROUP BY n.source, norm, most HAVING count(DISTINCT doc_id) > most),
 x AS (SELECT doc_id, sum(chars) AS gone FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.norm = f.norm GROUP BY doc_id),
 b AS (
