@@ -55,15 +55,15 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for v in batch.column(1):
             x = v.values.to_numpy(zero_copy_only=False) if v.is_valid and not v.values.null_count else np.zeros(0)
-            with np.errstate(over="ignore"):
-                norm = float(np.sqrt(np.square(x.astype(np.float64)).sum())) if len(x) and np.isfinite(x).all() else 0.0
             # Adding zero makes -0.0 the same bytes as 0.0.
-            out.append((x + x.dtype.type(0)).tobytes() if 0 < norm < np.inf else None)
+            out.append((x + x.dtype.type(0)).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["vec_id", "vec"])
 
 
 def _unit(rows: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)
+    # A power of two brings the largest component near 1: exact, and no square over- or underflows.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
