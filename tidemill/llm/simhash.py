@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import WORD, at_least, kept_by_worker, lean_batches, written
+from .shared import WORD, at_least, kept_by_worker, lean_batches, spread, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     """``doc_id``, ``fp`` and the ``keep`` columns (as ``k0``, ``k1``, ...) of each row."""
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
     schema = "".join(f", {c} {t}" for c, t in kept.dtypes[2:])
-    return kept.mapInArrow(_scan, f"doc_id long, fp long{schema}")
+    return spread(kept).mapInArrow(_scan, f"doc_id long, fp long{schema}")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
