@@ -9,9 +9,11 @@ a window, goes through the histogram of remainders:
 4. What is left is packed greedily: the longest piece first, then the longest that fits, as long as a window gets full;
    the rest is laid end to end and cut at window ends, so that only the last sequence has padding.
 
-All of this works on counts by length (at most one row for each length on the driver). A document finds its place by the
-rank of its piece among those of its length: the rank within its part of the input, taken down as it is tokenized, plus
-the pieces of that length in earlier parts. No length, however frequent, is gathered in one task.
+All of this works on counts by length, for blocks of documents: a task reads a split of the input, tokenizes until it
+holds ``BLOCK_TOKENS`` ids, plans them and hands out their pieces, whose places follow from the rank of each piece among
+those of its length. One sequence in a block has padding, one in 8,000 or so. Nothing is shuffled, collected, broadcast or
+written on the way, a task's memory does not depend on the input's size or on how frequent a length is, and a lost task is
+simply run again.
 """
 
 from __future__ import annotations
@@ -26,14 +28,18 @@ from struct import pack as pack_shorts
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept_by_worker, lean_batches, written
+from .shared import at_least, estimated_bytes, kept_by_worker, lean_batches, spread
 
 WINDOW = 2048
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Ids of the documents that are planned together, at least, if a task has them: 32 MB. Each block pads one sequence.
+BLOCK_TOKENS = 1 << 24
+#: Bytes of input, as estimated, that a task has at least.
+PART_BYTES = 4 << 20
 #: Words whose ids a worker keeps, twice.
 CACHE = 250_000
 ITERATIONS = 200
@@ -198,95 +204,103 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> Layout:
     return layout
 
 
-# -- the passes over the documents
-
-
-def tokenized(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """A written table: ``part``, ``uid``, ``doc_id``, ``doc_tokens``, ``rest`` (the last piece's length, 0: none), ``rank``, ``full_before``, ``ids``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, full, row, tokenizer = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0, 0, None
-        for batch in batches:
-            tokenizer = tokenizer or kept_by_worker(("tokenizer", path), lambda: WordTokenizer(path))
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
-                ids = [b + END_ID.to_bytes(2, "little") for b in tokenizer([t or "" for t in some.column(1).to_pylist()])]
-                n = np.array([len(b) // 2 for b in ids], np.int64)
-                rest = n % window
-                rank, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-                for k, r in enumerate(rest.tolist()):
-                    rank[k], before[k] = seen[r], full
-                    seen[r] += 1
-                    full += int(n[k]) // window
-                uid = (np.int64(part) << np.int64(33)) + np.arange(row, row + len(n))
-                row += len(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, np.int32)), pa.array(uid), some.column(0), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(before), pa.array(ids, pa.binary())],
-                    ["part", "uid", "doc_id", "doc_tokens", "rest", "rank", "full_before", "ids"],
-                )
-
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, uid long, doc_id long, doc_tokens long, rest int, rank long, full_before long, ids binary"), "pack-tokens")
+# -- the pass over the documents
 
 
 DIGESTS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, uid long"
 PIECES = "uid long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
-def _place(layout: Layout):
-    window, where = layout.window, layout.arrays()
-
+class Block:
+    """Documents that are planned and packed together, with their ids."""
+
+    def __init__(self, first_uid: int):
+        self.first_uid, self.docs, self.ids, self.tokens = first_uid, [], [], 0
+
+    def add(self, docs: pa.Array, ids: list[bytes]) -> None:
+        self.docs.append(docs)
+        self.ids += ids
+        self.tokens += sum(map(len, ids)) // 2
+
+    def pieces(self, window: int, first_sequence: int) -> tuple[int, Iterator[pa.RecordBatch]]:
+        """How many sequences the block fills, and its pieces: first those of whole windows, then those of the plan."""
+        n = np.array([len(b) // 2 for b in self.ids], np.int64)
+        rest, full = n % window, n // window
+        counts = np.bincount(rest, minlength=window)
+        layout = plan({r: int(c) for r, c in enumerate(counts.tolist()) if r and c}, window)
+        # The rank of a document among those with its rest, in their order.
+        order = np.argsort(rest, kind="stable")
+        rank = np.empty(len(n), np.int64)
+        rank[order] = np.arange(len(n)) - (np.cumsum(counts) - counts)[rest[order]]
+        full_before = np.cumsum(full) - full
+        return int(full.sum()) + layout.sequences, self._rows(window, layout, n, rest, rank, first_sequence + full_before, first_sequence + int(full.sum()))
+
+    def _rows(self, window: int, layout: Layout, n: np.ndarray, rest: np.ndarray, rank: np.ndarray, whole: np.ndarray, base: int) -> Iterator[pa.RecordBatch]:
+        where, ids_of = layout.arrays(), pa.chunked_array([d for d in self.docs]).combine_chunks()
+        for i in range(0, len(n), 256):
+            rows = []
+            for k in range(i, min(i + 256, len(n))):
+                uid, tokens, left = self.first_uid + k, int(n[k]), int(rest[k])
+                rows += [(uid, k, j * window, window, tokens, int(whole[k]) + j, 0) for j in range(tokens // window)]
+                if not left:
+                    continue
+                firsts, lane, at_, offset = where[left]
+                s = int(np.searchsorted(firsts, rank[k], "right")) - 1
+                begin, nth = tokens - left, int(rank[k]) - int(firsts[s])
+                if not lane[s]:
+                    rows.append((uid, k, begin, left, tokens, base + int(at_[s]) + nth, int(offset[s])))
+                    continue
+                at = int(at_[s]) + nth * left
+                while left:
+                    size = min(left, window - at % window)
+                    rows.append((uid, k, begin, size, tokens, base + layout.lane_start + at // window, at % window))
+                    at, begin, left = at + size, begin + size, left - size
+            uid, at, *others = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+            # A document's pieces come in the order of its ids, so the ids need no copy.
+            flat = np.frombuffer(b"".join(self.ids[i : i + 256]), "<u2").astype(np.int32)
+            ends = np.concatenate([[0], np.cumsum(others[1])]).astype(np.int32)
+            columns = [pa.array(uid), ids_of.take(pa.array(at)), *map(pa.array, others)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["uid", "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+
+
+def _pack(path: str, window: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                rows, ids = [], []
-                for part, uid, doc, n, rest, rank, full, raw in zip(*(b.column(c).to_pylist() for c in ("part", "uid", "doc_id", "doc_tokens", "rest", "rank", "full_before", "ids")), strict=True):
-                    ids.append(np.frombuffer(raw, "<u2").astype(np.int32))
-                    for k in range(n // window):
-                        rows.append((uid, doc, k * window, window, n, ((part + 1) << 36) + full + k, 0))
-                    if rest:
-                        firsts, lane, base, offset = where[rest]
-                        s = int(np.searchsorted(firsts, rank, "right")) - 1
-                        begin, nth = n - rest, rank - int(firsts[s])
-                        if not lane[s]:
-                            rows.append((uid, doc, begin, rest, n, int(base[s]) + nth, int(offset[s])))
-                        else:
-                            at, left = int(base[s]) + nth * rest, rest
-                            while left:
-                                size = min(left, window - at % window)
-                                rows.append((uid, doc, begin, size, n, layout.lane_start + at // window, at % window))
-                                at, begin, left = at + size, begin + size, left - size
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 7
-                # A document's pieces come in the order of its ids, so the ids need no copy.
-                ends = np.concatenate([[0], np.cumsum(columns[3].to_numpy())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["uid", "doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        first = (np.int64(TaskContext.get().partitionId()) << np.int64(33)).item()
+        uid, sequence, tokenizer, block = first, first, None, None
+        for batch in batches:
+            tokenizer = tokenizer or kept_by_worker(("tokenizer", path), lambda: WordTokenizer(path))
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                block = block or Block(uid)
+                block.add(some.column(0), [b + END_ID.to_bytes(2, "little") for b in tokenizer([t or "" for t in some.column(1).to_pylist()])])
+                uid += some.num_rows
+                if block.tokens >= block_tokens:
+                    used, rows = block.pieces(window, sequence)
+                    yield from rows
+                    sequence, block = sequence + used, None
+        if block:
+            yield from block.pieces(window, sequence)[1]
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, digest: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, digest: bool = False, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece: ``uid`` (the row's), ``doc_id``, ``start``, ``length``, ``doc_tokens``, ``sequence_id``, ``offset``, ``ids``.
 
     A null text counts as empty and gives the end id alone; null and repeated ids and equal rows are kept as documents
-    of their own; an empty table gives no rows; other columns are not read. ``path`` is the tokenizer's file.
-    With ``digest`` the rows are those of :func:`with_crc32`, made in the same pass.
+    of their own; an empty table gives no rows; other columns are not read. ``path`` is the tokenizer's file. Only the last
+    sequence of each block is padded. With ``digest`` the rows are those of :func:`with_crc32`, made in the same pass.
     """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     lean_batches(docs.sparkSession)
-    tokens = tokenized(docs, path, window)
-    by_part = written(tokens.where("rest > 0").groupBy("part", "rest").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
-    counts = {r["rest"]: r["n"] for r in by_part.groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # at most window - 1 rows
-    layout = plan(counts, window)
-    earlier = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(by_part.select("part", "rest", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ranks_before")), "pack-ranks")
-    ranked = tokens.join(offsets, ["part", "rest"], "left").withColumn("rank", F.col("rank") + F.coalesce("ranks_before", F.lit(0)))
-    ranked = ranked.select("part", "uid", "doc_id", "doc_tokens", "rest", "rank", "full_before", "ids")
-    place = _place(layout)
-    return ranked.mapInArrow(lambda batches: _digest(place(batches)), DIGESTS) if digest else ranked.mapInArrow(place, PIECES)
+    # Splits that are too small for a block of their own share a task: fewer blocks, less padding.
+    parts = at_least(1, estimated_bytes(docs), PART_BYTES)
+    run = _pack(path, window, block_tokens)
+    chosen = spread(docs.select(F.col("doc_id").cast("long"), "text"), parts).coalesce(parts)
+    return chosen.mapInArrow(lambda batches: _digest(run(batches)), DIGESTS) if digest else chosen.mapInArrow(run, PIECES)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
