@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``.
+
+Every stage takes any rows: a null text counts as empty (it is scored like an empty one, is a near duplicate of all texts
+without words, has no passages, is never taken into the mix); a null id is kept, larger than all others; a null source is a
+source of its own; of repeated rows one stays after the SimHash stage; very long texts are read whole; an empty table, or a
+stage that leaves nothing, gives no rows with the same columns; columns beyond ``COLUMNS`` are not read.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import language_id, mixing, packing, simhash, suffix_dedup, toxicity
-from tidemill.llm.shared import written
+from tidemill.llm.shared import drop_written, fresh_path, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,8 +39,8 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mix(docs, keep=tuple(COLUMNS)).select(*COLUMNS, F.explode("copies").alias("copy")).select(*COLUMNS)
+    """Each document as often as shards take it; the rows stand shard by shard, each in its shuffled order, in which packing meets them."""
+    return mixing.shard_rows(mixing.mix(docs, keep=tuple(COLUMNS))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +56,20 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL expresses none of the first three stages; tests/llm compares run() with a brute-force version.
+#: SQL expresses none of the first three stages; tests/llm compares run()'s pieces with a brute-force version, all stages
+#: but the toxicity decision, which is compared on its own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    """The last stage's rows. What a stage writes on its way goes when its result is written, and that when the next stage's is."""
+    docs = before = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
+        path = fresh_path(spark, f"stage-{name.split()[0]}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        if docs is not before:
+            drop_written(docs)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
