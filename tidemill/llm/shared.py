@@ -7,11 +7,13 @@ consumed the result can: whatever is written inside a :func:`scratch` block is d
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
+import sys
 import tempfile
-import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +22,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
 _kept: dict = {}
+#: The C library's call that gives free memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform.startswith("linux") else None
+#: Row groups of written tables: what a writing task holds, and what can be read apart.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def kept_by_worker(key, make):
-    """What a worker has made for this key, kept for its next tasks; one thing at a time, so that caches do not add up."""
+    """What a worker has made for this key, kept for its next tasks; one thing at a time, so that caches do not add up.
+
+    Memory that earlier tasks have freed goes back to the system, as workers live on.
+    """
     if key not in _kept:
         _kept.clear()
         gc.collect()
         _kept[key] = make()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
     return _kept[key]
 
 
@@ -46,8 +58,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Batches of 1,024 rows between Spark and Python: texts are long, and a batch is held several times over."""
+    """Batches of 1,024 rows or 8 MB between Spark and Python: texts are long, and a batch is held several times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -76,7 +89,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     if _scratch:
         _scratch[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -91,14 +104,6 @@ def drop_written(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more, without waiting for the driver's heap to fill."""
-    for _ in range(3):  # what one round frees on either side is seen by the next
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1.0)
-
-
 def splits(df: DataFrame) -> int:
     """The partitions of a plan; where shuffles decide, those that are configured, as asking would run them."""
     if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":

@@ -81,10 +81,11 @@ def variants(f: np.ndarray) -> np.ndarray:
 
 def _emit(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("simhash", bool)
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for i in range(0, len(every), 16_384):
-                f = every[i : i + 16_384]
+            for i in range(0, len(every), 8_192):
+                f = every[i : i + 8_192]
                 bucket = (_mixed(variants(f)) % np.uint64(buckets)).astype(np.int32).ravel()
                 order = np.argsort(bucket, kind="stable")
                 counts = np.bincount(bucket, minlength=buckets)

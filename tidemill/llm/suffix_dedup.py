@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import at_least, drop_written, estimated_bytes, kept_by_worker, lean_batches, release_shuffles, written
+from .shared import at_least, drop_written, estimated_bytes, kept_by_worker, lean_batches, spread, written
 from .suffix_arrays import common_prefixes, suffix_array
 
 LEAST = 50
@@ -198,6 +198,7 @@ def _part(packed: bytes) -> tuple[pa.Table, Part]:
 
 def _ask_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("suffixes", bool)
         for batch in batches:
             for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, p = _part(packed)
@@ -398,19 +399,15 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
     """
     lean_batches(docs.sparkSession)
     chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(doc_id).cast("long").alias("id_"), F.col(text).alias("text_"))
-    packed = written(chosen.mapInArrow(_pack, "part long, docs binary"), "suffix-parts")
+    packed = written(spread(chosen).mapInArrow(_pack, "part long, docs binary"), "suffix-parts")
     buckets = at_least(64, estimated_bytes(packed), BUCKET_BYTES)
     asked = packed.mapInArrow(_ask_keys(buckets), "bucket int, part long, keys binary, counts binary")
     shared = asked.groupBy("bucket").applyInArrow(_answer_keys, "part long, bucket int, answer binary")
     sent = packed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_ask_shards(buckets), "part long, shard int, lengths binary, groups binary, owners binary, texts binary, places binary")
     sent = written(sent, "suffix-runs")
-    del asked, shared
-    release_shuffles(docs.sparkSession)
     sorted_ = sent.where("shard >= 0").select("part", "shard", "lengths", "groups", "owners", "texts").groupBy("shard").applyInArrow(_answer_shards, "part long, shard int, answer binary")
     back = written(sorted_.unionByName(sent.where("shard < 0").select("part", "shard", F.col("places").alias("answer"))), "suffix-answers")
     drop_written(sent)
-    del sorted_, sent
-    release_shuffles(docs.sparkSession)
     types = dict(chosen.dtypes)
     schema = ", ".join(f"k{i} {types[f'k{i}']}" for i in range(len(keep)))
     out = packed.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(_remove_as_text if as_text else _remove, f"{schema}, n_bytes long, spans array<struct<start: long, length: long>>, {'kept_text string' if as_text else 'kept_bytes binary'}")

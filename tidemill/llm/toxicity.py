@@ -53,7 +53,8 @@ SHARED_PAIRS = 0.6
 FLOOR = 0.01
 #: Landmarks have a smaller feature than this in each other.
 APART = 0.4
-CACHE = 200_000
+#: Words whose features a worker keeps, twice.
+CACHE = 80_000
 #: Half the words of a window; windows overlap by half.
 HALF = 100
 START = "^"
@@ -192,7 +193,7 @@ class Reader:
         f = self.landmarks.features(words)
         self.known.update(dict.fromkeys(words))
         for i in np.flatnonzero(f.any(1)):
-            self.known[words[i]] = f[i]
+            self.known[words[i]] = f[i].astype("<f4")
         for t, found in parts.items():
             rows = [r for c in found if (r := self.known[c]) is not None]
             self.known[t] = None if not rows else rows[0] if len(rows) == 1 else np.max(rows, axis=0)
@@ -338,22 +339,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                found.append(np.unique(reader.windows(text), axis=0).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float32()))], ["toxic", "found"])
+                found.append(np.unique(reader.windows(text), axis=0).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["toxic", "found"])
 
-    seen = rows.mapInArrow(windows, "toxic int, found array<float>").collect()  # max_train_rows documents, a row of numbers for each HALF words
+    seen = rows.mapInArrow(windows, "toxic int, found binary").collect()  # max_train_rows documents, a row of numbers for each HALF words
     m = len(marks.words)
-    bags = [np.array(r["found"]).reshape(-1, m) if len(r["found"]) else np.zeros((1, m)) for r in seen]
+    bags = [np.frombuffer(r["found"], "<f4").reshape(-1, m) if r["found"] else np.zeros((1, m), "<f4") for r in seen]
     y = np.array([1.0 if r["toxic"] else -1.0 for r in seen])
     gram = marks.features(marks.words)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-2))
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    pick = np.array([b[int(b.sum(1).argmax())] for b in bags])
+    pick = np.array([b[int(b.sum(1).argmax())] for b in bags], float)
     for _ in range(4):
         x = np.hstack([pick @ whiten, np.ones((len(pick), 1))])
         w = _newton(x, y, c)
-        pick = np.array([b[int(np.argmax(b @ (whiten @ w[:-1])))] for b in bags])
+        pick = np.array([b[int(np.argmax(b @ (whiten @ w[:-1])))] for b in bags], float)
     margins = np.maximum(pick @ (whiten @ w[:-1]) + w[-1], w[-1])
     slope, shift = _logistic(margins, (y > 0).astype(float))
     return Machine(marks, whiten, w[:-1], float(w[-1]), slope, shift)
