@@ -48,13 +48,13 @@ SHORTEST_LANDMARK = 4
 #: Beginnings of up to so many letters are candidates, besides whole words.
 LONGEST_BEGINNING = 7
 #: Share of a landmark's neighbouring characters that a word must have in order, up to two characters apart.
-SHARED_PAIRS = 0.6
+SHARED_PAIRS = 0.7
 #: Smaller features count as none: four characters of ten, or so.
 FLOOR = 0.01
 #: Landmarks have a smaller feature than this in each other.
 APART = 0.4
 #: Words whose features a worker keeps, twice.
-CACHE = 80_000
+CACHE = 120_000
 #: Half the words of a window; windows overlap by half.
 HALF = 100
 START = "^"
