@@ -6,10 +6,13 @@ import json
 import re
 import uuid
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import keep_first
+
 
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
@@ -24,44 +27,75 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+class Conflict(RuntimeError):
+    """Another writer published the next version first."""
+
+
 class VersionedTable:
-    """A Parquet table whose current version a pointer file names: a writer makes a new folder, then moves the pointer.
+    """A Parquet table of numbered versions: a writer makes a new folder, then a manifest ``m00000001`` that names it.
 
-    Readers see the old rows or the new. ``protected`` refuses to be replaced; a schema change may add columns only.
+    A manifest is written under a hidden name and renamed, which fails if that version exists; none is ever replaced or
+    removed by a writer, so a reader sees the old rows or the new, also after a crash, and of two writers one gets
+    :class:`Conflict` and works on the other's rows. This needs a rename that does not replace a file. ``protected``
+    refuses to be replaced; a schema change may add columns only. An upsert rewrites the table.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], partition_by: tuple[str, ...] = (), protected: bool = False):
         self.spark, self.path, self.keys, self.partition_by, self.protected = spark, path.rstrip("/"), keys, partition_by, protected
 
-    def current(self) -> DataFrame | None:
-        p, fs = _path(self.spark, f"{self.path}/CURRENT")
-        return self.spark.read.parquet(f"{self.path}/{self.spark.read.text(str(p)).first()[0]}") if fs.exists(p) else None
+    def version(self) -> int:
+        """The newest version, 0 if there is none."""
+        p, fs = _path(self.spark, f"{self.path}/m*")
+        return max((int(s.getPath().getName()[1:]) for s in fs.globStatus(p) or []), default=0)
 
-    def _publish(self, df: DataFrame) -> None:
+    def current(self, version: int | None = None) -> DataFrame | None:
+        version = version or self.version()
+        return self.spark.read.parquet(f"{self.path}/{self.spark.read.text(f'{self.path}/m{version:08d}').first()[0]}") if version else None
+
+    def _publish(self, df: DataFrame, base: int) -> None:
         name = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
         hidden, fs = _path(self.spark, f"{self.path}/_{name}")
-        out = fs.create(hidden, True)
+        out = fs.create(hidden, False)
         out.write(bytearray(name.encode()))
         out.close()
-        target, _ = _path(self.spark, f"{self.path}/CURRENT")
-        fs.delete(target, False)
-        fs.rename(hidden, target)
+        target, _ = _path(self.spark, f"{self.path}/m{base + 1:08d}")
+        if fs.exists(target) or not fs.rename(hidden, target):
+            fs.delete(hidden, False)
+            fs.delete(_path(self.spark, f"{self.path}/{name}")[0], True)
+            raise Conflict(f"{self.path}: version {base + 1} exists")
 
     def replace(self, df: DataFrame) -> None:
-        if self.protected and self.current() is not None:
+        base = self.version()
+        if self.protected and base:
             raise PermissionError(f"{self.path} is never fully refreshed")
-        self._publish(df)
-
-    def upsert(self, batch: DataFrame) -> None:
-        """Rows of the batch take the place of those with their keys; new columns are null in old rows."""
-        old = self.current()
-        if old is None:
-            return self._publish(batch)
-        if gone := set(old.columns) - set(batch.columns):
-            raise ValueError(f"the batch lacks {sorted(gone)}")
-        kept = old.join(batch.select(*self.keys), self.keys, "left_anti")
-        self._publish(kept.unionByName(batch, allowMissingColumns=True))
+        self._publish(df, base)
+
+    def upsert(self, batch: DataFrame, order_by: str | None = None, attempts: int = 5) -> None:
+        """Rows of the batch take the place of those with their keys (null keys match each other); new columns are null in old rows.
+
+        Of several rows of a key the last by ``order_by`` goes in; without an order they are refused. Where another writer
+        comes first the upsert is made again on its version.
+        """
+        if order_by:
+            batch = keep_first(batch, self.keys, F.desc(order_by), *[F.col(c) for c in batch.columns])
+        elif not batch.groupBy(*self.keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"the batch has several rows of a key of {self.path}")
+        for left in reversed(range(attempts)):
+            base = self.version()
+            old = self.current(base)
+            if old is not None and (gone := set(old.columns) - set(batch.columns)):
+                raise ValueError(f"the batch lacks {sorted(gone)}")
+            new = batch
+            if old is not None:
+                there = batch.select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+                same = reduce(lambda a, b: a & b, [old[k].eqNullSafe(there[f"_{k}"]) for k in self.keys])
+                new = old.join(there, same, "left_anti").unionByName(batch, allowMissingColumns=True)
+            try:
+                return self._publish(new, base)
+            except Conflict:
+                if not left:
+                    raise
 
     def since(self, column: str, lookback: timedelta):
         """The value from which an incremental run reads again, as a literal so that scans can prune by it; None at first."""
@@ -107,6 +141,15 @@ def table_metadata(df: DataFrame, name: str, org: str, synced: str) -> DataFrame
     return by.unionByName(none).select(F.lit(name).alias("table_name"), "org", "last_sync", "n_rows")
 
 
+def publish(df: DataFrame, alias: str, materialized: str | None = None) -> str:
+    """The frame under an alias: as a view, or as a table of its rows at a path. Returns the alias."""
+    if materialized:
+        df.write.option("path", materialized).saveAsTable(alias)
+    else:
+        df.createOrReplaceTempView(alias)
+    return alias
+
+
 def stale_tables(spark: SparkSession, database: str, expected: set[str], dry_run: bool = True) -> list[str]:
     """Tables that no model makes any more; dropped only if asked to."""
     gone = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.name not in expected)

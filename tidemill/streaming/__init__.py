@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import keep_first
 from ..sources import VersionedTable
 
 
@@ -19,6 +18,6 @@ def upsert_stream(stream: DataFrame, table: VersionedTable, order_by: str, check
 
     def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            table.upsert(keep_first(batch, table.keys, F.desc(order_by), *[F.col(k) for k in table.keys]))
+            table.upsert(batch, order_by)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
