@@ -72,6 +72,32 @@ def is_not_true(c: Column) -> Column:
     return ~is_true(c)
 
 
+def is_not_false(c: Column) -> Column:
+    return ~c.eqNullSafe(F.lit(False))
+
+
+def json_scalar(c: Column, path: str) -> Column:
+    """A scalar at the path as text; null for objects, arrays, JSON nulls, missing paths and text that is no JSON."""
+    found = F.try_variant_get(F.try_parse_json(c), path, "variant")
+    kind = F.schema_of_variant(found)
+    return F.when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), F.get_json_object(c, path))
+
+
+def json_typed(c: Column, path: str, kind: str) -> Column:
+    """The value at the path in a type; null if it is missing or does not convert."""
+    return F.try_variant_get(F.try_parse_json(c), path, kind)
+
+
+def unquoted(c: Column) -> Column:
+    """JSON text of a string without its quotes."""
+    return F.regexp_replace(c, '^"|"$', "")
+
+
+def latest_first(day: Column, as_of: dt.date) -> Column:
+    """A sort key for the latest date that is not in the future; dates in the future come last."""
+    return F.when(day <= F.lit(as_of), day).desc_nulls_last()
+
+
 def shifted_year(d: Column, years: Column | int) -> Column:
     """The date in another year, its day no later than that month's last."""
     first = F.make_date(F.year(d) + years, F.month(d), F.lit(1))

@@ -53,6 +53,12 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def top_counted(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k rows and, in each, how many were ``dropped``. The order should end in a unique column."""
+    n = df.agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0)).alias("dropped"))
+    return df.orderBy(*order).limit(k).crossJoin(F.broadcast(n))
+
+
 def full_outer(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     """Full outer join of several frames on coalesced keys; null keys match each other."""
     def two(a: DataFrame, b: DataFrame) -> DataFrame:
