@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemill import functions as X
 from tidemill.operators import as_of_join, union_all
-from tidemill.plans import costs, graph, models, quality
-from tidemill.sources import VersionedTable, from_toon, latest_timestamp, schema_name, snapshot, table_metadata, to_toon
-from tidemill.streaming import upsert_stream
+from tidemill.plans import costs, graph, marts, models, quality
+from tidemill.sources import Conflict, VersionedTable, from_toon, latest_timestamp, schema_name, snapshot, table_metadata, to_toon
+from tidemill.streaming import upsert_stream, windowed_counts
 
 
 def test_series_and_years(spark):
@@ -107,3 +107,103 @@ def test_stream_upsert(spark, tmp_path):
     q = upsert_stream(spark.readStream.schema("k int, t int, v string").parquet(src), t, "t", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sorted((r.k, r.v) for r in t.current().collect()) == [(1, "b"), (2, "c")]
+
+
+def test_two_writers_of_a_table(spark, tmp_path):
+    """A writer that comes second works on the first one's rows; a crash before the manifest leaves the old version."""
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
+    a, b = VersionedTable(spark, str(tmp_path), ["k"]), VersionedTable(spark, str(tmp_path), ["k"])
+    a.upsert(rows((1, "a"), (None, "n")))
+    real, turns = a._publish, []
+
+    def late(df, base):
+        if not turns:
+            turns.append(b.upsert(rows((2, "b"))))
+        return real(df, base)
+
+    a._publish = late
+    a.upsert(rows((1, "c"), (None, "m")))
+    got = sorted(((r.k, r.v) for r in a.current().collect()), key=str)
+    assert got == sorted([(1, "c"), (2, "b"), (None, "m")], key=str) and a.version() == 3
+    with pytest.raises(Conflict):
+        real(rows((9, "z")), 1)
+    assert a.version() == 3 and a.current(1).count() == 2
+    spark.range(3).write.parquet(f"{tmp_path}/v-lost")  # written, never published
+    assert a.current().count() == 3
+
+
+def test_repeated_keys_of_a_batch(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path), ["k"])
+    batch = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "k int, at int, v string")
+    with pytest.raises(ValueError):
+        t.upsert(batch)
+    t.upsert(batch, order_by="at")
+    assert [r.v for r in t.current().collect()] == ["b"]
+
+
+def test_lineage_of_unions(spark):
+    a, b = spark.range(1).select(F.col("id").alias("x"), F.lit(1).alias("y")), spark.range(1).select((F.col("id") + 1).alias("u"), F.col("id").alias("w"))
+    left, right = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(1, 2)], "x int, z int")
+    both = graph.column_lineage(left.union(right))
+    assert both == [("x", "x", "union"), ("x", "x", "union"), ("y", "y", "union"), ("y", "z", "renamed")]
+    assert len(graph.column_lineage(a.union(b).select((F.col("x") * 2).alias("s")))) == 2
+    assert graph.chain_kind(["direct", "passthrough", "macro"]) == "macro" and graph.chain_kind(["ambiguous", "derived"]) == "ambiguous"
+
+
+def test_contract_and_model_descriptions():
+    assert quality.drift({"c": {"a": {"x", "y"}, "b": {"x"}}}) == [("c", "b", "y")]
+    good = {"fct_o": {"kind": "fact", "grain": "order", "keys": {"k": "dim_c"}, "measures": {"m": "additive"}}, "dim_c": {"kind": "dimension", "key": "k", "attributes": ["valid_from", "valid_to"], "history": 2}}
+    assert quality.dimensional_findings(good) == []
+    bad = {"fct_o": {"kind": "fact", "keys": {"k": "dim_x", "f": "orders"}, "measures": {"m": "sum"}}, "orders": {"kind": "fact", "grain": "g", "keys": {"a": "dim_c"}, "measures": {"m": "none"}}, "dim_c": {"kind": "dimension", "key": "k", "attributes": ["a"], "history": 2}, "x": {"kind": "view"}}
+    found = quality.dimensional_findings(bad)
+    assert {("fct_o", "no grain"), ("fct_o", "key to unknown dim_x"), ("fct_o", "key to a fact: orders"), ("fct_o", "measure m without additivity"), ("orders", "name of no fact"), ("dim_c", "history without validity"), ("x", "kind view")} == set(found)
+
+
+def test_model_on_mocked_rows(spark):
+    """A model's rows from given rows: regions and levels of a category that is inactive, missing, or on top."""
+    from pyspark.testing import assertDataFrameEqual
+
+    tree = spark.createDataFrame([("a", "A", "b", True), ("b", "B", "c", None), ("c", "C", None, True), ("x", "X", "a", False)], "id string, name string, parent string, active boolean")
+    mapping = spark.createDataFrame([("d", "1", "a"), ("d", "2", "c"), ("d", "3", "x"), ("d", "4", None), ("d", "1", "a")], "dimension string, id string, category string")
+    want = spark.createDataFrame([("d", "1", "C", "B", "A"), ("d", "2", "C", "Others", "Others"), ("d", "3", "Others", "Others", "Others"), ("d", "4", "Others", "Others", "Others")], "dimension string, id string, level1 string, level2 string, level3 string")
+    assertDataFrameEqual(marts.mapped_categories(mapping, tree), want)
+
+
+def test_json_by_path(spark):
+    rows = spark.createDataFrame([('{"a":{"b":1},"c":[{"d":"x"}],"e":null,"f":"1,5"}',), ("no json",), (None,)], "j string")
+    got = rows.select(*[X.json_scalar(F.col("j"), p).alias(n) for n, p in (("obj", "$.a"), ("b", "$.a.b"), ("d", "$.c[0].d"), ("e", "$.e"))], X.json_typed(F.col("j"), "$.f", "double").alias("f")).collect()
+    assert [tuple(r) for r in got] == [(None, "1", "x", None, None), (None,) * 5, (None,) * 5]
+
+
+def test_late_events_as_a_stream(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,CAST(id AS INT)) AS ts, 'a' AS event_type, 1.0D AS value FROM range(10)").coalesce(1).write.parquet(src)
+    counts = windowed_counts(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(src))
+    q = counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = sorted((r.window.start.day, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(d, 1) for d in range(1, 7)]  # the last days are still open
+
+
+def test_month_series_and_ends(spark):
+    r = spark.range(1).select(X.month_series(F.lit(dt.date(2024, 1, 31)), F.lit(dt.date(2024, 3, 31))).alias("m"), X.inclusive_end(F.lit(dt.date(2024, 1, 1)), F.lit(dt.date(2025, 1, 1))).alias("e")).first()
+    assert r.m == [dt.date(2024, 1, 31), dt.date(2024, 2, 29), dt.date(2024, 3, 31)] and r.e == dt.date(2024, 12, 31)
+
+
+def test_llm_folders_can_be_left_out(tmp_path):
+    """The entry module without the subpackage and the pipeline; and with a subpackage that fails to import, which is no reason to leave it out."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parents[1]
+    shutil.copytree(here / "tidemill", tmp_path / "tidemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    out = run("import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(sum(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)")
+    assert out.stdout.split() == ["0", "False"], out.stderr
+    (tmp_path / "tidemill" / "llm").mkdir()
+    (tmp_path / "tidemill" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tidemill" / "llm" / "queries.py").write_text("import no_such_module")
+    assert "no_such_module" in run("import __spark_entry__ as e; e.queries()").stderr

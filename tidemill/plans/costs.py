@@ -43,6 +43,21 @@ def priced(usage: DataFrame, rates: DataFrame) -> DataFrame:
     return usage.join(rates, "model", "left").withColumn("cost", cost).withColumn("priced", F.col("cost").isNotNull()).drop(*[f"{k}_rate" for k in KINDS])
 
 
+def _sums(rows: DataFrame, key: str, *more) -> DataFrame:
+    unpriced = F.sum(F.when(F.col("priced"), 0).otherwise(1)).alias("unpriced")
+    return rows.groupBy(key).agg(*more, F.count(F.lit(1)).alias("turns"), F.sum("cost").alias("cost"), unpriced).orderBy(F.desc_nulls_last("cost"), key)
+
+
+def by_model(rows: DataFrame) -> DataFrame:
+    """Turns, tokens of each kind and cost of each model."""
+    return _sums(rows, "model", *[F.sum(f"{k}_tokens").alias(f"{k}_tokens") for k in KINDS])
+
+
+def by_session(rows: DataFrame, at: str = "at") -> DataFrame:
+    """Start, turns and cost of each session."""
+    return _sums(rows, "session", F.min(at).alias("started_at"))
+
+
 def cost_by(rows: DataFrame, key: str, missing: str | None = None) -> DataFrame:
     k = F.coalesce(F.col(key), F.lit(missing)) if missing else F.col(key)
     return rows.groupBy(k.alias(key)).agg(F.count(F.lit(1)).alias("turns"), F.sum("cost").alias("cost"), F.sum(F.when(F.col("priced"), 0).otherwise(1)).alias("unpriced")).orderBy(F.desc_nulls_last("cost"), key)

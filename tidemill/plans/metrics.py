@@ -20,7 +20,7 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
 }
 ADDITIVE = ("sum", "count")
 GRAINS = ("day", "week", "month", "quarter", "year")
-_TEMPLATE = re.compile(r"\{\{\s*Dimension\('(\w+)__(\w+)'\)\s*\}\}")
+_TEMPLATE = re.compile(r"\{\{\s*Dimension\s*\(\s*['\"](\w+?)__(\w+)['\"]\s*\)\s*\}\}")
 
 
 class Unsupported(ValueError):
@@ -60,6 +60,9 @@ class Metric:
     inputs: tuple[tuple[str, str, str | None], ...] = ()  # metric, alias, offset such as "1 month"
     window: int | None = None
     grain_to_date: str | None = None
+    numerator_offset: str | None = None
+    denominator_offset: str | None = None
+    offset_to_grain: str | None = None
 
 
 class Compiler:
@@ -105,6 +108,8 @@ class Compiler:
             column(*d.split("__"))
         for f in filters:
             frame_filter = _TEMPLATE.sub(lambda m: f"`{column(m[1], m[2])}`", f)
+            if "{{" in frame_filter:
+                raise Unsupported(f"filter {f}")
             frame = frame.where(frame_filter)
         return frame
 
@@ -128,6 +133,8 @@ class Compiler:
 
     def ratio(self, metric: Metric, grain: str, dims: tuple[str, ...] = (), where: tuple[str, ...] = ()) -> DataFrame:
         """The denominator drives; a missing numerator is 0; a denominator of 0 gives null."""
+        if metric.numerator_offset or metric.denominator_offset:
+            raise Unsupported("offset of a ratio's leg")
         top, bottom = self.metrics[metric.numerator], self.metrics[metric.denominator]
         n, d = self.simple(top, grain, dims, where), self.simple(bottom, grain, dims, where)
         keys = ["metric_time", *dims]
@@ -138,6 +145,8 @@ class Compiler:
 
     def derived(self, metric: Metric) -> DataFrame:
         """Inputs at the offset's grain; an offset leg is shifted forward and joined by time, to the first input."""
+        if metric.offset_to_grain:
+            raise Unsupported("offset_to_grain")
         offsets = {o for _, _, o in metric.inputs if o}
         units = {o.split()[1].rstrip("s") for o in offsets}
         if len(units) > 1:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..operators import as_of_join, dense_grid, full_outer, keep_first, override, point_in_time, range_lookup, union_all, year_counter
-from ..session import table
+from ..session import shared_dir, table
 from ..sources import VersionedTable, empty_clone, latest_timestamp, snapshot, table_metadata
-from . import costs, graph, models, quality
+from . import costs, features, graph, marts, models, quality
 from .metrics import Compiler, Measure, Metric, Model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,15 +31,6 @@ def query(sql: str | None):
     return add
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemill-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def _double(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -144,7 +134,7 @@ def stg_orders(spark, d):
 
 
 _LINES = "SELECT l_orderkey AS order_id, count(*) AS line_item_count, sum((l_extendedprice::DECIMAL(28,6) * l_discount::DECIMAL(28,6))::DECIMAL(28,6)) AS discount, sum(l_extendedprice::DECIMAL(28,6)) AS gross FROM lineitem GROUP BY 1"
-_FCT = f"WITH l AS ({_LINES}) SELECT o_orderkey AS order_id, o_custkey AS customer_id, CASE WHEN r_name IN ('EUROPE', 'AFRICA', 'MIDDLE EAST') THEN 'EMEA' WHEN r_name = 'AMERICA' THEN 'AMER' ELSE 'OTHER' END AS region, coalesce(line_item_count, 0) AS line_item_count, round((coalesce(gross, 0) - coalesce(discount, 0))::DOUBLE, 2) AS net_line_amount, o_orderdate::DATE AS ordered_date FROM orders LEFT JOIN l ON order_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"
+_FCT = f"WITH l AS ({_LINES}) SELECT o_orderkey AS order_id, o_custkey AS customer_id, CASE WHEN r_name IN ('EUROPE', 'AFRICA', 'MIDDLE EAST') THEN 'EMEA' WHEN r_name = 'AMERICA' THEN 'AMER' ELSE 'OTHER' END AS region, coalesce(line_item_count, 0) AS line_item_count, round(coalesce(gross, 0) - coalesce(discount, 0), 2)::DOUBLE AS net_line_amount, o_orderdate::DATE AS ordered_date FROM orders LEFT JOIN l ON order_id = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey"
 
 
 def _order_lines(spark, d):
@@ -166,7 +156,7 @@ def _fct(spark, d):
     region = F.when(F.col("r_name").isin("EUROPE", "AFRICA", "MIDDLE EAST"), "EMEA").when(F.col("r_name") == "AMERICA", "AMER").otherwise("OTHER")
     o = _stg_orders(spark, d).join(_order_lines(spark, d), "order_id", "left").join(_geo(spark, d).select("c_custkey", "r_name"), F.col("customer_id") == F.col("c_custkey"), "left")
     net = F.coalesce("gross", F.lit(0)) - F.coalesce("discount", F.lit(0))
-    return o.select("order_id", "customer_id", region.alias("region"), F.coalesce("line_item_count", F.lit(0)).alias("line_item_count"), F.round(net.cast("double"), 2).alias("net_line_amount"), "ordered_date")
+    return o.select("order_id", "customer_id", region.alias("region"), F.coalesce("line_item_count", F.lit(0)).alias("line_item_count"), F.round(net, 2).cast("double").alias("net_line_amount"), "ordered_date")
 
 
 @query(_FCT)
@@ -178,7 +168,7 @@ def fct_orders(spark, d):
 def fct_orders_incremental(spark, d):
     """A first load up to a day, then an upsert of what a lookback of three days reads again: the same as a full build."""
     full = _fct(spark, d)
-    t = VersionedTable(spark, f"{_shared(spark)}/fct-{uuid.uuid4().hex}", ["order_id"])
+    t = VersionedTable(spark, f"{shared_dir(spark)}/fct-{uuid.uuid4().hex}", ["order_id"])
     t.upsert(full.where("ordered_date <= date'1999-06-30'"))
     t.upsert(full.where(F.col("ordered_date") >= F.lit(t.since("ordered_date", dt.timedelta(days=3)))))
     return t.current()
@@ -308,12 +298,15 @@ def full_outer_actual_vs_budget(spark, d):
     return full_outer([total("orders", "o_orderdate", "o_totalprice", "year(o_orderdate) < 2000", "actual"), total("lineitem", "l_shipdate", "l_extendedprice", "year(l_shipdate) > 1996", "budget")], ["y"])
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, (SELECT arg_max(s.l_extendedprice, (s.l_shipdate, s.l_orderkey * 10 + s.l_linenumber)) FROM lineitem s WHERE s.l_partkey = l.l_partkey AND s.l_suppkey % 2 = 0 AND s.l_shipdate <= l.l_shipdate) AS last_price FROM lineitem l WHERE l.l_suppkey % 2 = 1")
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, o_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT l.l_orderkey, l.l_linenumber,
+  (SELECT arg_max(s.l_extendedprice, (s.l_shipdate, s.l_orderkey * 10 + s.l_linenumber)) FROM lineitem s WHERE s.l_partkey = l.l_partkey AND s.l_shipdate <= l.o_orderdate) AS last_price FROM l""")
 def asof_last_supply(spark, d):
+    """The price of the last shipment of each line's part up to the day of its order."""
     line = table(spark, d, "lineitem")
-    left = line.where("l_suppkey % 2 = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    right = line.where("l_suppkey % 2 = 0").select("l_partkey", F.col("l_shipdate").alias("at"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
-    return as_of_join(left, right, "l_partkey", "l_shipdate", "at", "price", "tie").select("l_orderkey", "l_linenumber", "last_price")
+    left = line.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_orderdate")
+    right = line.select("l_partkey", F.col("l_shipdate").alias("at"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    return as_of_join(left, right, "l_partkey", "o_orderdate", "at", "price", "tie").select("l_orderkey", "l_linenumber", "last_price")
 
 
 @query("SELECT o_orderkey, 'FY' || CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS fy FROM orders")
@@ -323,24 +316,32 @@ def range_fy_lookup(spark, d):
     return range_lookup(table(spark, d, "orders"), fy, F.to_date("o_orderdate"), "lo", "hi").select("o_orderkey", "fy")
 
 
-@query("SELECT l_orderkey, l_linenumber, (date_trunc('day', l_shipdate) + to_months(k::INTEGER))::DATE AS due, l_extendedprice / l_quantity AS amount FROM lineitem, unnest(range(0, l_quantity::BIGINT + 1)) AS u(k) WHERE l_orderkey % 3 = 0")
+@query("""SELECT last_day((date_trunc('day', l_shipdate) + to_months(k::INTEGER))::DATE) AS month, l_returnflag, count(*) AS payments, sum((l_extendedprice / l_quantity)::DECIMAL(28,6))::DOUBLE AS amount
+FROM lineitem, unnest(range(0, l_quantity::BIGINT + 1)) AS u(k) GROUP BY 1, 2""")
 def contract_expansion(spark, d):
-    line = table(spark, d, "lineitem").where("l_orderkey % 3 = 0")
+    """Each line as a contract of as many months as it has units: what falls due in each month."""
+    line = table(spark, d, "lineitem")
     months = X.series(F.lit(0), F.col("l_quantity").cast("int"))
-    return line.select("l_orderkey", "l_linenumber", "l_shipdate", F.explode(months).alias("k"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("amount")).select("l_orderkey", "l_linenumber", F.add_months(F.to_date("l_shipdate"), F.col("k")).alias("due"), "amount")
+    due = line.select("l_returnflag", "l_shipdate", F.explode(months).alias("k"), X.money(F.col("l_extendedprice") / F.col("l_quantity")).alias("amount"))
+    by = due.groupBy(F.last_day(F.add_months(F.to_date("l_shipdate"), F.col("k"))).alias("month"), "l_returnflag")
+    return by.agg(F.count(F.lit(1)).alias("payments"), F.sum("amount").cast("double").alias("amount"))
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 20)")
+@query("SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal < -500)")
 def anti_join(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "customer").where("c_custkey < 20"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti").select("n_name")
+    """Nations without a customer deep in debt in a segment, by two columns."""
+    debtors = table(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal < -500")
+    return table(spark, d, "nation").join(debtors, F.col("n_nationkey") == F.col("c_nationkey"), "left_anti").select("n_name")
+
+
+_NOT_IN = "SELECT 'plain' AS values_, n_name FROM {n} WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {c} WHERE c_acctbal < -900) UNION ALL SELECT 'with a null', n_name FROM {n} WHERE n_nationkey NOT IN (SELECT CASE WHEN c_acctbal < -950 THEN c_nationkey END FROM {c} WHERE c_acctbal < -900)"
 
 
-@query("SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN c_custkey > 1 THEN c_nationkey END FROM customer WHERE c_custkey < 20)")
+@query(_NOT_IN.format(n="nation", c="customer"))
 def not_in_semantics(spark, d):
     """A null among the values leaves no row."""
-    table(spark, d, "nation").createOrReplaceTempView("tm_nation")
-    table(spark, d, "customer").createOrReplaceTempView("tm_customer")
-    return spark.sql("SELECT n_name FROM tm_nation WHERE n_nationkey NOT IN (SELECT CASE WHEN c_custkey > 1 THEN c_nationkey END FROM tm_customer WHERE c_custkey < 20)")
+    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
+    return spark.sql(_NOT_IN, n=nation, c=customer)
 
 
 @query("SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS large FROM part")
@@ -411,7 +412,7 @@ def scalar_string(spark, d):
     return table(spark, d, "part").select("p_partkey", X.blank_to_null(F.when(F.col("p_partkey") % 4 == 0, "").otherwise(F.col("p_brand"))).alias("brand"), F.coalesce(X.safe_offset(types, 1), F.lit("")).alias("second"), X.safe_offset(types, 8).alias("ninth"), X.regexp_first(F.col("p_brand"), "[0-9]+").alias("digits"), F.left("p_name", F.lit(3)).alias("three"), F.length("p_name").alias("n"), F.regexp_replace("p_name", "([aeiou])", "<$1>").alias("marked"), X.surrogate_key(F.col("p_brand"), F.col("p_partkey")).alias("key"))
 
 
-@query(None)
+@query("SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_brand || '-' || p_name), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+'), lambda w: upper(w[1]) || w[2:]), '') AS name FROM part")
 def initcap_words(spark, d):
     return table(spark, d, "part").select("p_partkey", X.initcap_words(F.concat("p_brand", F.lit("-"), "p_name")).alias("name"))
 
@@ -450,14 +451,14 @@ def usage_cost_by_branch(spark, d):
 # -- quality, catalog, graph
 
 
-@query("SELECT 'unique' AS test, count(*) AS failing FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'not_null', count(*) FROM documents WHERE lang IS NULL UNION ALL SELECT 'accepted_values', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'relationships', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 9 <> 0) UNION ALL SELECT 'range', count(*) FROM part WHERE p_size < 5 OR p_size > 45 UNION ALL SELECT 'expression', count(*) FROM lineitem WHERE NOT coalesce(l_discount < 0.05, false) UNION ALL SELECT 'unique_combination', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+@query("SELECT 'unique' AS test, count(*) AS failing FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'not_null', count(*) FROM documents WHERE lang IS NULL UNION ALL SELECT 'accepted_values', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'relationships', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) UNION ALL SELECT 'range', count(*) FROM part WHERE p_size < 5 OR p_size > 45 UNION ALL SELECT 'expression', count(*) FROM lineitem WHERE NOT coalesce(l_discount < 0.05, false) UNION ALL SELECT 'unique_combination', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
 def quality_tests(spark, d):
     line, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
     tests = {
         "unique": quality.unique(line, "l_orderkey"),
         "not_null": quality.not_null(table(spark, d, "documents"), "lang"),
         "accepted_values": quality.accepted_values(orders, "o_orderstatus", ["F", "O"]),
-        "relationships": quality.relationships(orders, "o_custkey", table(spark, d, "customer").where("c_custkey % 9 <> 0"), "c_custkey"),
+        "relationships": quality.relationships(orders, "o_custkey", table(spark, d, "customer").where("c_acctbal >= 0"), "c_custkey"),
         "range": quality.accepted_range(table(spark, d, "part"), "p_size", 5, 45),
         "expression": quality.expression_is_true(line, "l_discount < 0.05"),
         "unique_combination": quality.unique(line, "l_orderkey", "l_linenumber"),
@@ -481,14 +482,19 @@ def latest_source_timestamp(spark, d):
     return latest_timestamp([(table(spark, d, "orders"), "o_orderdate"), (table(spark, d, "lineitem"), "l_shipdate")], spark)
 
 
+_EDGES = "e AS (SELECT p_partkey AS s, t FROM part, unnest([p_partkey * 2, p_partkey * 3]) u(t) WHERE t IN (SELECT p_partkey FROM part))"
+
+
 def _graph(spark, d):
+    """Each part is needed by the parts of twice and three times its number, if there are any."""
     p = table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("source"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 3)).alias("target")).where("target <= 200")
+    edges = p.select(F.col("p_partkey").alias("source"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 3)).alias("target"))
+    return edges.join(p.select(F.col("p_partkey").alias("target")), "target", "left_semi").select("source", "target")
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS s, unnest([p_partkey * 2, p_partkey * 3]) AS t FROM part), r AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT t, distance + 1 FROM r JOIN e ON s = node WHERE t <= 200) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT t, distance + 1 FROM r JOIN e ON s = node) SELECT node, min(distance) AS distance FROM r GROUP BY 1")
 def graph_reachability(spark, d):
-    _shared(spark)
+    shared_dir(spark)
     return graph.reachable(_graph(spark, d), spark.range(1, 2).select(F.col("id").alias("node")))
 
 
@@ -499,19 +505,36 @@ def lineage_columns(spark, d):
     return spark.createDataFrame(graph.column_lineage(df), "column_name string, input string, kind string")
 
 
-@query("SELECT * FROM (VALUES (8.0::DOUBLE, 'a>c>d')) t(cost, path)")
+@query("""WITH RECURSIVE n AS (SELECT n_nationkey AS id, n_name AS name, count(c_custkey)::DOUBLE AS cost FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2),
+e AS (SELECT DISTINCT p AS s, id AS t FROM n, unnest([id // 2, id // 3]) u(p) WHERE p <> id),
+r AS (SELECT id, cost, name AS path FROM n UNION ALL SELECT e.t, r.cost + n.cost, r.path || '>' || n.name FROM r JOIN e ON e.s = r.id JOIN n ON n.id = e.t)
+SELECT cost, path FROM r ORDER BY cost DESC, path DESC LIMIT 1""")
 def critical_path(spark, d):
-    cost, path = graph.critical_path({"a": [], "b": ["a"], "c": ["a"], "d": ["b", "c"]}, {"a": 1.0, "b": 2.0, "c": 4.0, "d": 3.0})
+    """The dearest chain of nations, each after those of half and of a third of its number; a nation costs its customers."""
+    customers = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("c_custkey").alias("n"))
+    rows = table(spark, d, "nation").join(customers, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", "n_name", F.coalesce("n", F.lit(0)).alias("n")).collect()  # a model graph's size
+    name = {r.n_nationkey: r.n_name for r in rows}
+    parents = {name[k]: sorted({name[p] for p in (k // 2, k // 3) if p != k}) for k in name}
+    cost, path = graph.critical_path(parents, {r.n_name: float(r.n) for r in rows})
     return spark.createDataFrame([(cost, ">".join(path))], "cost double, path string")
 
 
-@query("WITH n AS (SELECT p_partkey AS id, p_brand AS src FROM part), e AS (SELECT p_partkey AS s, unnest([p_partkey * 2, p_partkey * 3]) AS t FROM part), j AS (SELECT a.src AS a, b.src AS b FROM e JOIN n a ON a.id = s JOIN n b ON b.id = t WHERE t <= 200 AND (a.src = 'Brand#11' OR b.src = 'Brand#11')) SELECT CASE WHEN b = 'Brand#11' THEN a ELSE b END AS file, 'uses' AS relation, count(*) FILTER (b = 'Brand#11' AND a <> 'Brand#11') AS dependents, count(*) FILTER (a = 'Brand#11' AND b <> 'Brand#11') AS dependencies, count(*) FILTER (a = 'Brand#11' AND b = 'Brand#11') AS internal FROM j GROUP BY 1")
+@query(f"""WITH n AS (SELECT p_partkey AS id, p_brand AS src FROM part), {_EDGES},
+j AS (SELECT a.src AS a, b.src AS b FROM e JOIN n a ON a.id = s JOIN n b ON b.id = t WHERE a.src = 'Brand#11' OR b.src = 'Brand#11')
+SELECT CASE WHEN b = 'Brand#11' THEN a ELSE b END AS file, 'uses' AS relation, count(*) FILTER (b = 'Brand#11' AND a <> 'Brand#11') AS dependents,
+  count(*) FILTER (a = 'Brand#11' AND b <> 'Brand#11') AS dependencies, count(*) FILTER (a = b) AS internal FROM j GROUP BY 1""")
 def graph_impact(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("src"))
     return graph.impact(nodes, _graph(spark, d).withColumn("relation", F.lit("uses")), nodes.where("src = 'Brand#11'"))
 
 
-@query("WITH n AS (SELECT p_partkey AS id FROM part WHERE lower(p_type) LIKE '%brass%' OR lower(p_type) LIKE '%steel%'), e AS (SELECT p_partkey AS s, unnest([p_partkey * 2, p_partkey * 3]) AS t FROM part) SELECT s AS source, t AS target FROM e WHERE t <= 200 AND s IN (SELECT id FROM part, n WHERE p_partkey = id AND lower(p_type) LIKE '%s%') AND s IN (SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%steel%') AND t IN (SELECT p_partkey FROM part WHERE lower(p_type) LIKE '%steel%')")
+@query(f"""WITH {_EDGES}, n AS (SELECT p_partkey AS id FROM part WHERE lower(p_type) LIKE '%o%' AND p_brand LIKE 'Brand#1%')
+SELECT s AS source, t AS target FROM e WHERE s IN (SELECT id FROM n) AND t IN (SELECT id FROM n)""")
 def graph_subset(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("src"), F.col("p_type").alias("community"))
-    return graph.subset(nodes, _graph(spark, d), community="STEEL")[1].select("source", "target")
+    edges = _graph(spark, d).withColumn("relation", F.lit("uses"))
+    return graph.subset(nodes, edges, community="O", prefix="Brand#1", relation="uses")[1].select("source", "target")
+
+
+QUERIES |= marts.QUERIES | features.QUERIES
+ORACLES |= marts.ORACLES | features.ORACLES
