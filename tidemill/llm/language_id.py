@@ -147,11 +147,17 @@ def train(rows: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, max_words: int
     summed = lambda counted: counted.groupBy("unit", "lang").agg(F.sum("n").alias("n"))
     words = written(summed(spread(chosen.select("text", "lang")).mapInArrow(_count, "unit string, lang string, n long")), "language-words")
     pieces = written(summed(words.mapInArrow(_count_grams, "unit string, lang string, n long")), "language-grams")
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "unit")
+    falling = Window.partitionBy("lang").orderBy(F.desc("n"))
 
     def table(counted: DataFrame) -> dict[str, dict[str, int]]:
-        """The units that are among the first of any language, with their counts in all."""
-        first = counted.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= max_words).select("unit").distinct()
+        """The units that are among the first of any language, with their counts in all.
+
+        The count at which a language's units are ``max_words`` at most is found from how many units have each count, so no
+        language's units are sorted in one task; units of equal count go in together or not at all.
+        """
+        by_count = counted.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("units")).withColumn("so_far", F.sum("units").over(falling))
+        least = by_count.where(F.col("so_far") <= max_words).groupBy("lang").agg(F.min("n").alias("least"))
+        first = counted.join(least, "lang").where("n >= least").select("unit").distinct()
         found: dict[str, dict[str, int]] = {}
         for r in counted.join(first, "unit", "left_semi").orderBy("unit", "lang").toLocalIterator():  # max_words times languages
             found.setdefault(r.unit, {})[r.lang] = r.n
