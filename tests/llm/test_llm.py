@@ -219,6 +219,8 @@ def test_language(spark, data, awkward, none):
     signs = spark.createDataFrame([(1, "\u00b2 \u00bd \u2460 12 _"), (2, "a")], "doc_id long, text string")
     model = language_id.train(spark.createDataFrame([(1, "a b", "en"), (2, "c d", "de")], "doc_id long, text string, lang string"))
     assert [(r.doc_id, r.lang_pred) for r in language_id.predict(signs, model).orderBy("doc_id").collect()] == [(1, "und"), (2, "en")]
+    few = spark.createDataFrame([(1, "aa aa aa bb bb cc dd", "en")], "doc_id long, text string, lang string")
+    assert set(language_id.train(few, max_words=3).index["w"]) == {"aa", "bb"}  # cc and dd do not both fit
     model = language_id.train(awkward)
     rows = language_id.predict(awkward, model, keep=("doc_id", "text")).collect()
     assert len(rows) == len(ROWS) and all(r.lang_pred == "und" for r in rows if not r.text or not r.text.strip())
@@ -239,7 +241,11 @@ def test_language_by_brute_force(spark, data):
                     tables[kind].setdefault(u, Counter())[lang] += 1
     langs = sorted({lang for _, lang in teach})
     for kind, table in tables.items():
-        kept = {u for lang in langs for u in sorted((u for u in table if table[u][lang]), key=lambda u: (-table[u][lang], u))[: language_id.MAX_WORDS]}
+        kept = set()
+        for lang in langs:
+            with_count = Counter(table[u][lang] for u in table if table[u][lang])
+            fits = [n for n in with_count if sum(c for m, c in with_count.items() if m >= n) <= language_id.MAX_WORDS]
+            kept |= {u for u in table if fits and table[u][lang] >= min(fits)}
         total = {lang: sum(table[u][lang] for u in kept) for lang in langs}
         for u in list(table):
             if u not in kept:
