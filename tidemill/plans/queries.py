@@ -322,9 +322,12 @@ def contract_expansion(spark, d):
     """Each line as a contract of as many months as it has units: what falls due in each month."""
     line = table(spark, d, "lineitem")
     months = X.series(F.lit(0), F.col("l_quantity").cast("int"))
-    due = line.select("l_returnflag", "l_shipdate", F.explode(months).alias("k"), X.money(F.col("l_extendedprice") / F.col("l_quantity")).alias("amount"))
-    by = due.groupBy(F.last_day(F.add_months(F.to_date("l_shipdate"), F.col("k"))).alias("month"), "l_returnflag")
-    return by.agg(F.count(F.lit(1)).alias("payments"), F.sum("amount").cast("double").alias("amount"))
+    # Lines that start in one month and run as long fall due alike, so they are summed before they are expanded.
+    alike = line.groupBy("l_returnflag", F.trunc("l_shipdate", "month").alias("start"), "l_quantity")
+    alike = alike.agg(F.count(F.lit(1)).alias("n"), F.sum(X.money(F.col("l_extendedprice") / F.col("l_quantity"))).alias("amount"))
+    due = alike.select("l_returnflag", "start", "n", "amount", F.explode(months).alias("k"))
+    by = due.groupBy(F.last_day(F.add_months("start", F.col("k"))).alias("month"), "l_returnflag")
+    return by.agg(F.sum("n").alias("payments"), F.sum("amount").cast("double").alias("amount"))
 
 
 @query("SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal < -500)")
