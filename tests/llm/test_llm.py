@@ -347,6 +347,11 @@ def test_suffix_dedup_of_hot_keys(spark, data, docs, awkward, monkeypatch):
     assert _found(awkward) == _repeats([(r[0], r[1]) for r in ROWS])
     assert _found(spark.read.parquet(f"{data}/documents.parquet")) == _repeats(docs)
     assert hot.value > 0
+    # Many parts, whose entries meet before the windows' shards get them.
+    monkeypatch.setattr(suffix_dedup, "PARTS_MET", 1)
+    monkeypatch.setattr(suffix_dedup, "spread", lambda df: df.repartition(5))
+    assert _found(awkward) == _repeats([(r[0], r[1]) for r in ROWS])
+    assert _found(spark.read.parquet(f"{data}/documents.parquet")) == _repeats(docs)
 
 
 # -- near duplicates

@@ -12,7 +12,8 @@ packed into parts of a few MB and handled in two rounds of questions that parts
 
 Keys with very many different surroundings (a passage that a third of all documents hold) are dealt out once more, window
 by window, by a hash of the whole window, so that no shard receives them all. Texts that are equal meet as one entry for
-each part, however many documents hold them. The number of buckets grows with the input; a part's and a shard's memory do
+each part, however many documents hold them; entries of hot windows meet once more, for ``PARTS_MET`` parts together, before
+they go to the window's shard, and the answer returns by the same way. The number of buckets grows with the input; a part's and a shard's memory do
 not. Questions and answers are written tables or shuffled rows, so a lost executor's are made again.
 """
 
@@ -39,6 +40,8 @@ PART_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
 #: Distinct surroundings of a key, summed over parts, above which its windows are dealt out one by one.
 HOT = 3000
+#: Parts whose entries of a hot window meet before the window's shard gets one entry for all of them.
+PARTS_MET = 4096
 #: Bytes that are sorted at once: their arrays should fit a processor's cache.
 SORTED_BYTES = 1 << 20
 END = 0xFF  # no byte of UTF-8
@@ -273,7 +276,9 @@ def _ask_shards(buckets: int):
         owner = np.minimum.reduceat(doc[order], np.flatnonzero(new))
         rows, place = [], np.empty(len(first), np.int64)
         done = 0
-        for b, at in _slices(_bucket(shard_key[first], buckets)):
+        # Hot windows have shards of their own, numbered after the others.
+        shards = _bucket(shard_key[first], buckets) + np.where(first < len(key), 0, buckets)
+        for b, at in _slices(shards):
             s, n = start[first[at]], length[first[at]]
             spread = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
             rows.append((b, _packed(n.astype("<u2").tobytes()), (shard_key[first[at]] & np.uint64(255)).astype(np.uint8).tobytes(), _packed(owner[at].astype("<i8").tobytes()), _packed(p.bytes[spread].tobytes()), b""))
@@ -315,38 +320,61 @@ def least_owners(texts: np.ndarray, lengths: np.ndarray, owners: np.ndarray) ->
     return owner[valid]
 
 
+class _Asked:
+    """What several rows ask one shard, in the order of their parts: equal texts are one, with the smallest of their owners."""
+
+    def __init__(self, t: pa.Table):
+        self.t = t = t.sort_by("part")
+        self.lengths = [np.frombuffer(_unpacked(x), "<u2").astype(np.int64) for x in t.column("lengths").to_pylist()]
+        owners = np.concatenate([np.frombuffer(_unpacked(x), "<i8") for x in t.column("owners").to_pylist()])
+        whole = b"".join(map(_unpacked, t.column("texts").to_pylist()))
+        every = np.concatenate(self.lengths)
+        starts = np.cumsum(every) - every
+        seen: dict[bytes, int] = {}
+        self.which = np.fromiter((seen.setdefault(whole[s : s + n], len(seen)) for s, n in zip(starts.tolist(), every.tolist(), strict=True)), np.int64, len(every))
+        self.distinct = list(seen)
+        self.least = np.full(len(seen), _NOBODY)
+        np.minimum.at(self.least, self.which, owners)
+        self.sizes = np.fromiter(map(len, self.distinct), np.int64, len(seen))
+        self.windows = self.sizes - LEAST + 1
+        self.begin = np.cumsum(self.windows) - self.windows
+        self.group = np.zeros(len(seen), np.uint8)
+        self.group[self.which] = np.frombuffer(b"".join(t.column("groups").to_pylist()), np.uint8)
+
+    def answers(self, found: np.ndarray) -> pa.Table:
+        """For each row the owners of its windows; ``found``: those of the distinct texts' windows."""
+        out, at = [], 0
+        for n in self.lengths:
+            w = self.which[at : at + len(n)]
+            at += len(n)
+            k = self.windows[w]
+            back = found[np.repeat(self.begin[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            out.append(_packed(np.diff(back, prepend=0).astype("<i8").tobytes()))
+        return pa.table({"part": self.t.column("part"), "shard": self.t.column("shard"), "answer": pa.array(out, pa.binary())})
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """One question for those of several parts, under the number of their meeting."""
+    a = _Asked(t)
+    columns = {"lengths": _packed(a.sizes.astype("<u2").tobytes()), "groups": a.group.tobytes(), "owners": _packed(a.least.astype("<i8").tobytes()), "texts": _packed(b"".join(a.distinct))}
+    where = {"part": pa.array([t.column("meeting")[0].as_py()], pa.int64()), "shard": pa.array([t.column("shard")[0].as_py()], pa.int32())}
+    return pa.table(where | {c: pa.array([v], pa.binary()) for c, v in columns.items()})
+
+
+def _part_ways(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The answer to a meeting as one for each of its parts."""
+    return _Asked(left).answers(np.cumsum(np.frombuffer(_unpacked(right.column("answer")[0].as_py()), "<i8")))
+
+
 def _answer_shards(t: pa.Table) -> pa.Table:
-    lengths = [np.frombuffer(_unpacked(x), "<u2").astype(np.int64) for x in t.column("lengths").to_pylist()]
-    owners = np.concatenate([np.frombuffer(_unpacked(x), "<i8") for x in t.column("owners").to_pylist()])
-    texts = np.concatenate([np.frombuffer(_unpacked(x), np.uint8) for x in t.column("texts").to_pylist()])
-    every = np.concatenate(lengths)
-    # The same text from several parts is sorted once.
-    spread = np.cumsum(every) - every
-    whole = texts.tobytes()
-    seen: dict[bytes, int] = {}
-    which = np.fromiter((seen.setdefault(whole[s : s + n], len(seen)) for s, n in zip(spread.tolist(), every.tolist(), strict=True)), np.int64, len(every))
-    distinct = list(seen)
-    least = np.full(len(distinct), _NOBODY)
-    np.minimum.at(least, which, owners)
-    sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    windows = sizes - LEAST + 1
-    begin = np.cumsum(windows) - windows
+    a = _Asked(t)
     # Equal windows have equal keys, so texts of different keys need not be sorted together.
-    group = np.zeros(len(distinct), np.int64)
-    group[which] = np.frombuffer(b"".join(t.column("groups").to_pylist()), np.uint8)
-    group %= max(1, -(-int(sizes.sum()) // SORTED_BYTES))
-    found = np.empty(windows.sum(), np.int64)
+    group = a.group.astype(np.int64) % max(1, -(-int(a.sizes.sum()) // SORTED_BYTES))
+    found = np.empty(a.windows.sum(), np.int64)
     for _, at in _slices(group):
-        k = windows[at]
-        found[np.repeat(begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())] = least_owners(np.frombuffer(b"".join([distinct[i] for i in at]), np.uint8), sizes[at], least[at])
-    out, at = [], 0
-    for n in lengths:
-        w = which[at : at + len(n)]
-        at += len(n)
-        k = windows[w]
-        back = found[np.repeat(begin[w] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-        out.append(_packed(np.diff(back, prepend=0).astype("<i8").tobytes()))
-    return pa.table({"part": t.column("part"), "shard": t.column("shard"), "answer": pa.array(out, pa.binary())})
+        k = a.windows[at]
+        found[np.repeat(a.begin[at] - (np.cumsum(k) - k), k) + np.arange(k.sum())] = least_owners(np.frombuffer(b"".join([a.distinct[i] for i in at]), np.uint8), a.sizes[at], a.least[at])
+    return a.answers(found)
 
 
 # -- removing
@@ -405,7 +433,17 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), doc_id:
     shared = asked.groupBy("bucket").applyInArrow(_answer_keys, "part long, bucket int, answer binary")
     sent = packed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_ask_shards(buckets), "part long, shard int, lengths binary, groups binary, owners binary, texts binary, places binary")
     sent = written(sent, "suffix-runs")
-    sorted_ = sent.where("shard >= 0").select("part", "shard", "lengths", "groups", "owners", "texts").groupBy("shard").applyInArrow(_answer_shards, "part long, shard int, answer binary")
+    answers = "part long, shard int, answer binary"
+    asked = sent.where("shard >= 0").select("part", "shard", "lengths", "groups", "owners", "texts")
+    meetings = at_least(1, packed.count(), PARTS_MET)
+    if meetings == 1:
+        sorted_ = asked.groupBy("shard").applyInArrow(_answer_shards, answers)
+    else:
+        hot = asked.where(F.col("shard") >= buckets).withColumn("meeting", F.pmod(F.xxhash64("part"), F.lit(meetings)))
+        met = hot.groupBy("shard", "meeting").applyInArrow(_meet, "part long, shard int, lengths binary, groups binary, owners binary, texts binary")
+        told = met.groupBy("shard").applyInArrow(_answer_shards, answers).withColumnRenamed("part", "meeting")
+        told = hot.groupBy("shard", "meeting").cogroup(told.groupBy("shard", "meeting")).applyInArrow(_part_ways, answers)
+        sorted_ = asked.where(F.col("shard") < buckets).groupBy("shard").applyInArrow(_answer_shards, answers).unionByName(told)
     back = written(sorted_.unionByName(sent.where("shard < 0").select("part", "shard", F.col("places").alias("answer"))), "suffix-answers")
     drop_written(sent)
     types = dict(chosen.dtypes)
