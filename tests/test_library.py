@@ -1,12 +1,14 @@
 import datetime as dt
 import graphlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill import functions as X
-from tidemill.operators import as_of_join, union_all
+from tidemill.operators import as_of_join, not_in, range_lookup, union_all
 from tidemill.plans import costs, graph, marts, models, quality
+from tidemill.plans.metrics import Compiler, Measure, Metric, Model
 from tidemill.sources import Conflict, VersionedTable, from_toon, latest_timestamp, schema_name, snapshot, table_metadata, to_toon
 from tidemill.streaming import upsert_stream, windowed_counts
 
@@ -54,6 +56,59 @@ def test_as_of_keeps_null_values_and_ties(spark):
     assert got == {("a", 5): 7, ("a", 0): None, (None, 5): None}
 
 
+def test_as_of_by_spans_of_time(spark):
+    """A key with most rows, spans without a right row, nulls: the same as one sweep and as the definition."""
+    dice = random.Random(5)
+    day = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(days=dice.randrange(900)) if dice.random() < 0.95 else None
+    key = lambda: dice.choice(["hot"] * 6 + ["a", "b", None])
+    left = [(i, key(), day()) for i in range(300)]
+    right = [(key(), day(), dice.choice([None, i]), i) for i in range(120)]
+    l = spark.createDataFrame(left, "i int, k string, t timestamp")
+    r = spark.createDataFrame(right, "k string, at timestamp, v int, n int")
+    want = {}
+    for i, k, t in left:
+        before = [(at, n, v) for rk, at, v, n in right if k is not None and rk == k and at and t and at <= t]
+        want[i] = max(before, key=lambda x: x[:2])[2] if before else None
+    for span in (None, "month", "year"):
+        out = as_of_join(l, r, "k", "t", "at", "v", "n", span=span)
+        assert out.columns == ["i", "k", "t", "last_v"]
+        assert {x.i: x.last_v for x in out.collect()} == want
+
+
+def test_not_in_and_periods(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    values = lambda *v: spark.createDataFrame([(x,) for x in v], "y int")
+    found = lambda *v: sorted((r.x for r in not_in(left, "x", values(*v)).collect()), key=str)
+    assert found(1) == [2] and found(1, None) == [] and found() == [1, 2, None] and found(5, 5) == [1, 2]
+    periods = spark.createDataFrame([("p", dt.date(2020, 1, 15), dt.date(2021, 2, 10)), ("q", dt.date(2021, 2, 11), dt.date(2021, 2, 20)), ("empty", dt.date(2021, 3, 2), dt.date(2021, 3, 1)), ("open", dt.date(2022, 1, 1), None)], "p string, lo date, hi date")
+    days = spark.createDataFrame([(dt.date(2020, 1, 14),), (dt.date(2020, 1, 15),), (dt.date(2021, 2, 10),), (dt.date(2021, 2, 11),), (dt.date(2021, 3, 1),), (None,)], "d date")
+    out = range_lookup(days, periods, F.col("d"), "lo", "hi")
+    assert [r.p for r in out.orderBy(F.asc_nulls_last("d")).collect()] == [None, "p", "p", "q", None, None]
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_of_one_model_in_one_pass(spark):
+    """Ratios and saved queries by conditional aggregates are those of separate legs."""
+    rows = [(i, "abc"[i % 3] if i % 7 else None, dt.date(2020, 1 + i % 9, 1 + i % 28), i * 1.5) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id int, kind string, day date, x double")
+    model = Model("m", frame, {"row": "id"}, "day", (Measure("total", "sum", "x"), Measure("n", "count", "id"), Measure("ids", "count_distinct", "id")), {"kind": "kind"})
+    a, b = "{{ Dimension('row__kind') }} = 'a'", "{{ Dimension('row__kind') }} <> 'b'"
+    metrics = [Metric("some", measure="total", filter=a), Metric("more", measure="n", filter=b, spine=True, fill=0), Metric("all", measure="ids"), Metric("r", "ratio", numerator="some", denominator="more"), Metric("s", "ratio", numerator="all", denominator="some")]
+
+    def found(c, late):
+        out = []
+        for dims in ((), ("row__kind",)):
+            for df in (c.build("r", "month", dims, late), c.build("s", "month", dims, late), c.saved(["some", "all", "more"], "month", dims, late), c.saved(["more", "some"], "month", dims, late)):
+                out.append(sorted(map(repr, df.collect())))
+        return out
+
+    one, legs = Compiler([model], metrics), Compiler([model], metrics)
+    legs._together = lambda metrics: False
+    for late in ((), ("{{ Dimension('row__kind') }} in ('a', 'c')",)):
+        assert found(one, late) == found(legs, late)
+    assert "Join" not in one.saved(["some", "all"], "month", ())._jdf.queryExecution().executedPlan().toString()
+
+
 def test_project_builds_only_what_is_needed(spark):
     loaded = []
     p = models.Project(spark, lambda n: loaded.append(n) or spark.range(3))

@@ -88,8 +88,9 @@ class Compiler:
                 return m.dimensions[dim], m
         raise Unsupported(f"dimension {entity}__{dim}")
 
-    def _base(self, model: Model, filters: list[str], dims: list[str]) -> DataFrame:
-        frame, joined = model.frame, set()
+    def _base(self, model: Model, filters: list[str], dims: list[str]) -> tuple[DataFrame, list[str]]:
+        """The model's rows with the dimensions that are asked for, and the filters over them."""
+        frame, joined, conditions = model.frame, set(), []
 
         def column(entity: str, dim: str) -> str:
             nonlocal frame
@@ -110,20 +111,49 @@ class Compiler:
             frame_filter = _TEMPLATE.sub(lambda m: f"`{column(m[1], m[2])}`", f)
             if "{{" in frame_filter:
                 raise Unsupported(f"filter {f}")
-            frame = frame.where(frame_filter)
-        return frame
+            conditions.append(frame_filter)
+        return frame, conditions
 
     def simple(self, metric: Metric, grain: str, dims: tuple[str, ...] = (), where: tuple[str, ...] = ()) -> DataFrame:
         """``metric_time``, dimensions and the value."""
-        if metric.kind != "simple":
-            raise Unsupported(f"{metric.name} is {metric.kind}")
+        return self._filled(self._aggregated([metric], grain, dims, where), metric, grain, dims)
+
+    def _aggregated(self, metrics: list[Metric], grain: str, dims: tuple[str, ...], where: tuple[str, ...]) -> DataFrame:
+        """Simple metrics over one model by time and dimensions, in one pass.
+
+        Where filters differ, each is the condition of its aggregate, and ``_has_`` and the name say whether a group has
+        rows of the metric; rows that no metric wants are filtered out before.
+        """
         if grain not in GRAINS:
             raise Unsupported(f"grain {grain}")
-        model, measure = self._measure(metric.measure)
-        frame = self._base(model, [f for f in (metric.filter, *where) if f], list(dims))
-        time = F.to_date(F.date_trunc(grain, F.col(model.time)))
-        value = F.expr(measure.expr)
-        out = frame.groupBy(time.alias("metric_time"), *dims).agg(AGGREGATES[measure.agg](money(value) if measure.agg == "sum" else value).alias(metric.name))
+        for m in metrics:
+            if m.kind != "simple":
+                raise Unsupported(f"{m.name} is {m.kind}")
+        found = [self._measure(m.measure) for m in metrics]
+        model = found[0][0]
+        own = [m.filter for m in metrics]
+        differ = len(set(own)) > 1
+        frame, conditions = self._base(model, [f for f in (*where, *own) if f], list(dims))
+        mine = iter(conditions[len(where) :])
+        of = [F.expr(next(mine)) if f else F.lit(True) for f in own]
+        for c in conditions[: len(where)]:
+            frame = frame.where(c)
+        frame = frame.where(reduce(lambda a, b: a | b, of))
+        out = []
+        for metric, (_, measure), condition in zip(metrics, found, of, strict=True):
+            value = F.expr(measure.expr)
+            value = money(value) if measure.agg == "sum" else value
+            out.append(AGGREGATES[measure.agg](F.when(condition, value) if differ else value).alias(metric.name))
+            if differ:
+                out.append((F.count_if(condition) > 0).alias(f"_has_{metric.name}"))
+        return frame.groupBy(F.to_date(F.date_trunc(grain, F.col(model.time))).alias("metric_time"), *dims).agg(*out)
+
+    def _together(self, metrics: list[Metric]) -> bool:
+        """Whether one pass serves them: different simple metrics over one model."""
+        return all(m.kind == "simple" for m in metrics) and len({m.name for m in metrics}) == len(metrics) and len({self._measure(m.measure)[0].name for m in metrics}) == 1
+
+    @staticmethod
+    def _filled(out: DataFrame, metric: Metric, grain: str, dims: tuple[str, ...]) -> DataFrame:
         if metric.spine and not dims:
             spine = out.agg(F.min("metric_time").alias("lo"), F.max("metric_time").alias("hi")).select(F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {grain}"))).alias("metric_time"))
             out = spine.join(out, "metric_time", "left")
@@ -136,6 +166,13 @@ class Compiler:
         if metric.numerator_offset or metric.denominator_offset:
             raise Unsupported("offset of a ratio's leg")
         top, bottom = self.metrics[metric.numerator], self.metrics[metric.denominator]
+        if self._together([top, bottom]) and (dims or not top.spine or not top.fill):
+            out = self._aggregated([bottom, top], grain, dims, where)
+            if f"_has_{bottom.name}" in out.columns:
+                out = out.where(F.col(f"_has_{bottom.name}"))
+            out = self._filled(out, bottom, grain, dims)
+            value = F.coalesce(F.col(top.name).cast("double"), F.lit(0.0)) / F.nullif(F.col(bottom.name).cast("double"), F.lit(0.0))
+            return out.select("metric_time", *dims, value.alias(metric.name))
         n, d = self.simple(top, grain, dims, where), self.simple(bottom, grain, dims, where)
         keys = ["metric_time", *dims]
         n = n.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.col(top.name).alias("_n"))
@@ -178,8 +215,14 @@ class Compiler:
 
     def saved(self, names: list[str], grain: str, dims: tuple[str, ...], where: tuple[str, ...] = ()) -> DataFrame:
         """Metrics side by side; the first drives, keys compare null-safe, ``where`` applies to each."""
+        metrics, keys = [self.metrics[n] for n in names], ["metric_time", *dims]
+        if self._together(metrics) and (dims or not any(m.spine for m in metrics)):
+            out = self._aggregated(metrics, grain, dims, where)
+            if f"_has_{names[0]}" not in out.columns:
+                return out
+            return out.where(F.col(f"_has_{names[0]}")).select(*keys, *[F.when(F.col(f"_has_{n}"), F.col(n)).alias(n) for n in names])
         frames = [self.build(n, grain, dims, where) for n in names]
-        keys, out = ["metric_time", *dims], frames[0]
+        out = frames[0]
         for f in frames[1:]:
             r = f.select(*[F.col(k).alias(f"r_{k}") for k in keys], f.columns[-1])
             out = out.join(r, reduce(lambda a, b: a & b, [out[k].eqNullSafe(r[f"r_{k}"]) for k in keys]), "left").drop(*[f"r_{k}" for k in keys])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from ..operators import as_of_join, dense_grid, full_outer, keep_first, override, point_in_time, range_lookup, union_all, year_counter
+from ..operators import as_of_join, dense_grid, full_outer, keep_first, not_in, override, point_in_time, range_lookup, union_all, year_counter
 from ..session import shared_dir, table
 from ..sources import VersionedTable, empty_clone, latest_timestamp, snapshot, table_metadata
 from . import costs, features, graph, marts, models, quality
@@ -306,7 +306,7 @@ def asof_last_supply(spark, d):
     line = table(spark, d, "lineitem")
     left = line.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_orderdate")
     right = line.select("l_partkey", F.col("l_shipdate").alias("at"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
-    return as_of_join(left, right, "l_partkey", "o_orderdate", "at", "price", "tie").select("l_orderkey", "l_linenumber", "last_price")
+    return as_of_join(left, right, "l_partkey", "o_orderdate", "at", "price", "tie", span="year").select("l_orderkey", "l_linenumber", "last_price")
 
 
 @query("SELECT o_orderkey, 'FY' || CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS fy FROM orders")
@@ -337,14 +337,16 @@ def anti_join(spark, d):
     return table(spark, d, "nation").join(debtors, F.col("n_nationkey") == F.col("c_nationkey"), "left_anti").select("n_name")
 
 
-_NOT_IN = "SELECT 'plain' AS values_, n_name FROM {n} WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {c} WHERE c_acctbal < -900) UNION ALL SELECT 'with a null', n_name FROM {n} WHERE n_nationkey NOT IN (SELECT CASE WHEN c_acctbal < -950 THEN c_nationkey END FROM {c} WHERE c_acctbal < -900)"
+_NOT_IN = "SELECT 'plain' AS values_, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900) UNION ALL SELECT 'with a null', n_name FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN c_acctbal < -950 THEN c_nationkey END FROM customer WHERE c_acctbal < -900)"
 
 
-@query(_NOT_IN.format(n="nation", c="customer"))
+@query(_NOT_IN)
 def not_in_semantics(spark, d):
     """A null among the values leaves no row."""
-    nation, customer = table(spark, d, "nation"), table(spark, d, "customer")
-    return spark.sql(_NOT_IN, n=nation, c=customer)
+    nation, poor = table(spark, d, "nation"), table(spark, d, "customer").where("c_acctbal < -900")
+    plain = not_in(nation, "n_nationkey", poor.select("c_nationkey"))
+    holed = not_in(nation, "n_nationkey", poor.select(F.when(F.col("c_acctbal") < -950, F.col("c_nationkey")).alias("key")))
+    return union_all([rows.select(F.lit(what).alias("values_"), "n_name") for what, rows in (("plain", plain), ("with a null", holed))])
 
 
 @query("SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AS large FROM part")
