@@ -306,7 +306,16 @@ def asof_last_supply(spark, d):
     line = table(spark, d, "lineitem")
     left = line.join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_linenumber", "l_partkey", "o_orderdate")
     right = line.select("l_partkey", F.col("l_shipdate").alias("at"), F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
-    return as_of_join(left, right, "l_partkey", "o_orderdate", "at", "price", "tie", span="year").select("l_orderkey", "l_linenumber", "last_price")
+    return as_of_join(left, right, "l_partkey", "o_orderdate", "at", "price", "tie").select("l_orderkey", "l_linenumber", "last_price")
+
+
+@query("""WITH large AS (SELECT o_orderstatus AS s, o_orderdate::DATE AS at, max(o_orderkey) AS k FROM orders WHERE o_totalprice > 300000 GROUP BY 1, 2)
+SELECT o.o_orderkey, l.k AS last_large FROM orders o ASOF LEFT JOIN large l ON l.s = o.o_orderstatus AND l.at <= o.o_orderdate::DATE""")
+def asof_large_order(spark, d):
+    """The last large order of each order's status up to its day. A status holds up to half of all rows, so it is swept by months."""
+    orders = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+    large = orders.where("o_totalprice > 300000").select("o_orderstatus", F.col("day").alias("at"), F.col("o_orderkey").alias("large"), F.col("o_orderkey").alias("tie"))
+    return as_of_join(orders.select("o_orderkey", "o_orderstatus", "day"), large, "o_orderstatus", "day", "at", "large", "tie", span="month").select("o_orderkey", "last_large")
 
 
 @query("SELECT o_orderkey, 'FY' || CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS fy FROM orders")
