@@ -155,6 +155,22 @@ def test_contract():
     assert quality.severity(3, 2, 5) == "warn"
 
 
+def test_freshness_limits_are_exact(spark):
+    """A rounded age of just the limit can be over it or not; a fraction of ``now`` and of the limits counts too."""
+    utc = lambda *t: dt.datetime(*t, tzinfo=dt.timezone.utc)
+    hours, us = dt.timedelta(hours=1), dt.timedelta(microseconds=1)
+
+    def of(age, now=utc(2024, 1, 10), warn=24 * hours, error=48 * hours):
+        return tuple(quality.freshness(spark.createDataFrame([(now - age,), (now - 99 * 24 * hours,)], "ts timestamp"), "ts", now, warn, error).first())
+
+    assert [of(24 * hours), of(24 * hours + us), of(48 * hours), of(48 * hours + us), of(-hours)] == [(86400, "pass"), (86400, "warn"), (172800, "warn"), (172800, "error"), (-3600, "pass")]
+    late = utc(2024, 1, 10, 0, 0, 0, 400000)
+    assert [of(48 * hours, late), of(48 * hours + 400000 * us, late)] == [(172800, "warn"), (172800, "error")]
+    assert of(2 * us, warn=us, error=dt.timedelta.max) == (0, "warn")
+    empty = spark.createDataFrame([], "ts timestamp")
+    assert tuple(quality.freshness(empty, "ts", late, hours, hours).first()) == (None, "error")
+
+
 def test_stream_upsert(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string").coalesce(1).write.parquet(src)

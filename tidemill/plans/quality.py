@@ -46,8 +46,11 @@ def severity(failing: int, warn_above: int = 0, error_above: int = 0) -> str:
 
 
 def freshness(df: DataFrame, loaded_at: str, now: dt.datetime, warn_after: dt.timedelta, error_after: dt.timedelta) -> DataFrame:
-    age = F.lit(now).cast("long") - F.max(loaded_at).cast("timestamp").cast("long")
-    status = F.when(age.isNull() | (age > int(error_after.total_seconds())), "error").when(age > int(warn_after.total_seconds()), "warn").otherwise("pass")
+    """``age_seconds`` is between whole seconds, each rounded half to even as SQL casts an epoch; the status compares microseconds, which that rounding would hide."""
+    at, loaded = F.unix_micros(F.lit(now)), F.unix_micros(F.max(loaded_at).cast("timestamp"))
+    age = F.rint(at / 1e6).cast("long") - F.rint(loaded / 1e6).cast("long")
+    older = lambda limit: loaded < at - limit / dt.timedelta(microseconds=1)
+    status = F.when(loaded.isNull() | older(error_after), "error").when(older(warn_after), "warn").otherwise("pass")
     return df.agg(age.alias("age_seconds"), status.alias("status"))
 
 
